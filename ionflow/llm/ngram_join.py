@@ -193,47 +193,58 @@ def _pairs(second: bool):
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's shingles in each fragment of the order, packed and sorted."""
+    """Each document's shingles, sorted and packed, cut where the fragments of the order end."""
     for b in batches:
         for i, j, v, r in _sets(b.column(1)):
             v, r, n = textvec.distinct_by_row(v, r, j - i)
             dig = np.zeros(j - i, np.uint64)
             if len(v):
                 dig[n > 0] = np.add.reduceat(textvec.mix(v), (np.cumsum(n) - n)[n > 0])
-            part = (v >> np.uint64(62)).astype(np.int64)
-            cell = r * FRAGMENTS + part
-            size = np.bincount(cell, minlength=(j - i) * FRAGMENTS)
-            ends = np.cumsum(size) * 8
-            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(v.tobytes())])
-            ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(np.repeat(ids, FRAGMENTS).astype(np.int64)), pa.array(np.repeat(n, FRAGMENTS).astype(np.int32)), pa.array(np.repeat(dig.view(np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS), j - i).astype(np.int32)), data], names=["doc", "n", "d", "frag", "toks"])
+            size = np.bincount(r * FRAGMENTS + (v >> np.uint64(62)).astype(np.int64), minlength=(j - i) * FRAGMENTS)
+            ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(v.tobytes())])
+            data = pa.ListArray.from_arrays(pa.array(np.arange(0, len(size) + 1, FRAGMENTS), pa.int32()), data)
+            yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(dig.view(np.int64)), data], names=["doc", "n", "d", "toks"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of each pair in each fragment: FRAGMENTS rows a pair."""
     for b in batches:
-        out = np.zeros(b.num_rows, np.int32)
-        for k, (x, y) in enumerate(zip(b.column("ta"), b.column("tb"))):
-            x, y = (np.frombuffer(t.as_buffer(), np.uint64) if t.is_valid else np.zeros(0, np.uint64) for t in (x, y))
+        out = np.zeros(b.num_rows * FRAGMENTS, np.int32)
+        xs, ys = b.column("ta").flatten(), b.column("tb").flatten()
+        for k, (x, y) in enumerate(zip(xs, ys)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(x) and len(y):
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 out[k] = int((both[1:] == both[:-1]).sum())
-        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb", "da", "db")), pa.array(out)], names=["a", "b", "na", "nb", "da", "db", "part"])
+        again = pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))
+        yield pa.record_batch([*(b.column(c).take(again) for c in ("a", "b", "na", "nb", "da", "db")), pa.array(out)], names=["a", "b", "na", "nb", "da", "db", "part"])
 
 
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str, tag: str) -> DataFrame:
     """The pairs that link, from partial overlaps of each fragment of the order."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = common.saved(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, frag int, toks binary"), f"{base}/sets{tag}")
+    sets = common.saved(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, toks array<binary>"), f"{base}/sets{tag}")
     common.release(spark)
     # rows that repeat a doc_id can hold different texts, told apart by size and digest, or the
     # same one, when each of k * FRAGMENTS rows of a pair repeats k times
-    sa = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), "frag", F.col("toks").alias("ta"))
-    sb = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), "frag", F.col("toks").alias("tb"))
-    both = pairs.join(sb, ["b", "nb"]).join(sa, ["a", "na", "frag"]).select("a", "b", "na", "nb", "da", "db", "ta", "tb")
+    both = pairs.join(sets.toDF("b", "nb_", "db", "tb"), "b").where("nb = nb_").drop("nb_")
+    both = both.join(sets.toDF("a", "na_", "da", "ta"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
     part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, part int")
     total = part.groupBy("a", "b", "na", "nb", "da", "db").agg((F.sum("part") * FRAGMENTS / F.count("*")).alias("both"))
-    return common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
+    out = common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
+    common.remove(spark, f"{base}/sets{tag}")
+    common.release(spark)
+    return out
+
+
+def _of_classes(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """pairs between the first documents of each class of equal sets."""
+    for x, n in (("a", "na"), ("b", "nb")):
+        pairs = pairs.join(copies.select(F.col("doc_id").alias(x), F.col("n").cast("int").alias(n), "rep"), [x, n], "left").withColumn(x, F.coalesce("rep", x)).drop("rep")
+    swap = F.col("a") > F.col("b")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,12 +265,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     common.release(spark)
     leads = found.where("kind = 2").select("tok", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     more = leads.repartition("tok").sortWithinPartitions("tok", "n", "doc").mapInArrow(_pairs(True), shape)
-    pairs = common.saved(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), f"{base}/pairs")
-    links = _verified(spark, docs, pairs, base, "1")
-
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
-    copies = rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = common.saved(common.components(spark, links.union(copies), f"{base}/c1"), f"{base}/comp1")
+    copies = common.saved(rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct(), f"{base}/copies")
+    pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), copies), f"{base}/pairs")
+    links = _verified(spark, docs, pairs, base, "1")
+    copies_ = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = common.saved(common.components(spark, links.union(copies_), f"{base}/c1"), f"{base}/comp1")
 
     # Long lists: what still lies in different components is compared in full.
     long = found.where("kind = 1").select("tok", F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
@@ -271,12 +282,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), "main")
     rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * least(nx - px, ny - py) >= {PERCENT} * (nx + ny)")
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    rest = common.saved(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
+    rest = common.saved(_of_classes(rest.distinct(), copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
     if not rest.isEmpty():
         late = _verified(spark, docs, rest, base, "2")
         if not late.isEmpty():
             links = links.union(late)
-            comp = common.saved(common.components(spark, links.union(copies), f"{base}/c2"), f"{base}/comp2")
+            comp = common.saved(common.components(spark, links.union(copies_), f"{base}/c2"), f"{base}/comp2")
     out = rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), links.distinct()
 
