@@ -7,8 +7,8 @@
    from sizes and places, can still reach the threshold.
 3. The order is cut into fragments; within each the overlap of candidate
    pairs is counted separately, and the partial counts are summed per pair.
-4. Links are joined to components. Long posting lists first compare
-   neighbours and one common member; whatever then still lies in different
+4. Links are joined to components. Long posting lists first compare all
+   documents with two of them; whatever then still lies in different
    components is compared in full, so that no link between components is lost
    and no list of near copies is expanded into all its pairs.
 
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionflow.llm import common, textvec
 
-#: Entries of the count table behind the global order: 1 MB, whatever the input.
-BUCKETS_LOG2 = 18
+#: Entries of the count table behind the global order: 16 MB, whatever the input.
+BUCKETS_LOG2 = 22
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 75
 #: Posting lists up to this length are compared in full at once.
@@ -85,10 +85,11 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(table: np.ndarray):
     """Prefix rows of each document; table: the counts by bucket."""
-    level = np.minimum(8 * np.log2(1.0 + table), 255).astype(np.uint64) << np.uint64(56)
+    level = np.minimum(8 * np.log2(1.0 + table), 255).astype(np.uint8)
     #: a bucket far above the usual holds a frequent shingle; what is dealt by it is salted
     usual = np.median(table)
-    salts = np.minimum(np.ceil(np.maximum(table - 2.0 * usual, 0) / SALT_ROWS) + 1, 4096).astype(np.int64)
+    over = np.maximum(table - 2.0 * usual, 0) / SALT_ROWS
+    salts = (1 << np.minimum(np.ceil(np.log2(1 + over)), 12).astype(np.int64)).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift, seen = np.uint64(64 - BUCKETS_LOG2), set()
@@ -100,7 +101,7 @@ def _prefixes(table: np.ndarray):
                 if not len(v):
                     continue
                 bucket = (v >> shift).astype(np.int64)
-                v, r, n = textvec.distinct_by_row(v, r, j - i, level[bucket] | (v >> np.uint64(8)))
+                v, r, n = textvec.distinct_by_row(v, r, j - i, (level[bucket].astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8)))
                 start = np.cumsum(n) - n
                 # copies within a task go once
                 dig = np.zeros(j - i, np.uint64)
@@ -116,7 +117,7 @@ def _prefixes(table: np.ndarray):
                 keep = (pos < p[r]) & use[r]
                 v, r, pos = v[keep], r[keep], pos[keep]
                 doc = ids[i:j][r]
-                s = salts[(v >> shift).astype(np.int64)]
+                s = salts[(v >> shift).astype(np.int64)].astype(np.int64)
                 salt = (textvec.mix(doc.astype(np.int64).view(np.uint64)) % s.astype(np.uint64)).astype(np.int32)
                 salt[s == 1] = -1
                 yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(salt), pa.array(doc.astype(np.int64)), pa.array(n[r].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "salt", "doc", "n", "pos"])
@@ -131,7 +132,7 @@ def _may_link(na, nb, pa_, pb):
 
 
 def _pairs(second: bool):
-    """Candidate pairs of lists sorted by (tok, salt, n, doc); rows of long and salted lists also go on."""
+    """Candidate pairs of lists sorted by (tok, salt, doc); rows of long and salted lists also go on."""
 
     def emit(tok, salt, doc, n, pos):
         m = len(tok)
@@ -144,12 +145,13 @@ def _pairs(second: bool):
         left, right = [], []
         idx = np.arange(m)
         for k in range(1, SHORT_LIST):
-            i = idx[(idx + k < end) & ((k == 1) | (mine <= SHORT_LIST))]
+            i = idx[(idx + k < end) & (mine <= SHORT_LIST)]
             left.append(i)
             right.append(i + k)
-        i = idx[(mine > SHORT_LIST) & (idx > first + 1)]
-        left.append(first[i])
-        right.append(i)
+        for k in (0, 1):  # long lists: all with the first, all with the second
+            i = idx[(mine > SHORT_LIST) & (idx > first + k)]
+            left.append(first[i] + k)
+            right.append(i)
         x, y = np.concatenate(left), np.concatenate(right)
         ok = (doc[x] != doc[y]) & _may_link(n[x], n[y], pos[x], pos[y])
         x, y = x[ok], y[ok]
@@ -261,10 +263,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
 
     prefix = docs.mapInArrow(_prefixes(table), "tok long, salt int, doc long, n int, pos int")
     shape = "kind int, a long, b long, na int, nb int, tok long"
-    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "n", "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
+    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
     common.release(spark)
     leads = found.where("kind = 2").select("tok", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-    more = leads.repartition("tok").sortWithinPartitions("tok", "n", "doc").mapInArrow(_pairs(True), shape)
+    more = leads.repartition("tok").sortWithinPartitions("tok", "doc").mapInArrow(_pairs(True), shape)
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
     copies = common.saved(rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct(), f"{base}/copies")
     pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), copies), f"{base}/pairs")
@@ -278,11 +280,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     by = long.groupBy("tok", "component").agg(F.count("*").alias("m"))
     mixed = by.groupBy("tok").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     long = common.saved(long.join(mixed, "tok"), f"{base}/long")
-    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-    y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), "main")
-    rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * least(nx - px, ny - py) >= {PERCENT} * (nx + ny)")
+    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
+    rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    rest = common.saved(_of_classes(rest.distinct(), copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
+    # Pairs that meet in a short list are verified already: these have all common shingles of
+    # their prefixes in long lists, and at most a suffix more.
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    rest = rest.where(f"{100 + PERCENT} * (met + greatest(ceil({PERCENT} * na / 100), ceil({PERCENT} * nb / 100)) - 1) >= {PERCENT} * (na + nb)").drop("met")
+    rest = common.saved(_of_classes(rest, copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
     if not rest.isEmpty():
         late = _verified(spark, docs, rest, base, "2")
         if not late.isEmpty():

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionflow.llm import embedding_forest, exact_dedup, license_diagonal, line_dedup, ngram_join, oracles, source_mix
+from ionflow.llm import embedding_forest, exact_dedup, license_diagonal, line_dedup, ngram_join, oracles, source_mix, toxicity_crf
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_crf.score(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonal.scan(spark, _read(spark, sf_dir, "documents"))[0]
 
@@ -40,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
         "op5_license_scans": op5_license_scans,
         "op6_source_mix": op6_source_mix,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

@@ -30,7 +30,9 @@ class WordHasher:
     A-Z count as a-z. word_bytes[b] tells whether byte b belongs to a word.
     """
 
-    def __init__(self, word_bytes: np.ndarray):
+    def __init__(self, word_bytes: np.ndarray, prefixes: tuple[int, ...] = ()):
+        """prefixes: byte lengths of word beginnings that are hashed too, as further columns."""
+        self.prefixes = prefixes
         rng = np.random.Generator(np.random.PCG64(20240229))
         table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         table[65:91] = table[97:123]
@@ -49,7 +51,7 @@ class WordHasher:
         """Words of buf; cuts: where texts begin, and the end. Hash, start, length."""
         if not len(buf):
             z = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), z, z
+            return np.zeros((0, 1 + len(self.prefixes)) if self.prefixes else 0, np.uint64), z, z
         inside = self.word[buf]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
@@ -62,7 +64,10 @@ class WordHasher:
         power, inv = self._powers(len(buf))
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.table[buf] * power, out=total[1:])
-        return mix((total[e] - total[s]) * inv[s]), s, e - s
+        if not self.prefixes:
+            return mix((total[e] - total[s]) * inv[s]), s, e - s
+        ends = [e, *(np.minimum(s + k, e) for k in self.prefixes)]
+        return np.stack([mix((total[x] - total[s]) * inv[s] + np.uint64(k)) for k, x in enumerate(ends)], axis=1), s, e - s
 
     def batches(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, last row, word hashes, words per row, byte starts, byte lengths) for row ranges.
