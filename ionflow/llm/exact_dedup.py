@@ -29,6 +29,9 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no file space is reserved, and a commit uploads changes only
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 _NO_ID = 2**63 - 1
 
@@ -83,31 +86,35 @@ def exact_groups(spark: SparkSession, path: str, digest=sha256, checkpoint: str
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of the table at path."""
     base = common.workdir(spark, "exact")
     state = common.saved(update_state(spark, path, checkpoint or f"{base}/stream", digest), f"{base}/state")
-    docs = spark.read.parquet(path).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    norm = normalised(F.col("text"))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ident.alias("ident"), F.length("text").alias("chars"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-
-    # Full bytes of hits: the filter holds back nearly all texts that have no equal.
+    docs = spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Generators, so that no optimizer rule repeats the costly expressions in a filter or join key.
+    docs = docs.select("doc_id", F.length("text").alias("chars"), F.explode(F.array(normalised(F.col("text")))).alias("norm"))
+    docs = docs.select("doc_id", "chars", "norm", F.explode(F.array(digest(F.col("norm")))).alias("digest"))
     h = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    bits = _maybe_repeated(spark, state, base)
+    docs = docs.withColumn("h", h).withColumn("word", F.floor(F.col("h") / _WORD).cast("int"))
     byte = F.conv(F.hex(F.expr("substring(bits, cast((h % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    some = docs.withColumn("h", h).withColumn("word", F.floor(F.col("h") / _WORD).cast("int")).join(F.broadcast(bits), "word")
-    some = some.where(byte.bitwiseAND(F.expr("cast(power(2, h % 8) as int)")) != 0).select("digest", "ident", "chars", "norm")
+    repeated = F.coalesce(byte.bitwiseAND(F.expr("cast(power(2, h % 8) as int)")) != 0, F.lit(False))
+    # One pass: all rows by digest, and the bytes of those whose digest may be repeated.
+    rows = docs.join(F.broadcast(_maybe_repeated(spark, state, base)), "word", "left")
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("ident"), "chars", "digest", F.sha2("norm", 256).alias("text_sha256"), F.when(repeated, F.col("norm")).alias("norm"))
+    rows = common.saved(rows, f"{base}/rows")
+
+    # Full bytes of hits against the kept row's.
+    some = rows.where("norm is not null").select("digest", "ident", "chars", "norm")
     many = state.where("size > 1")
     first = some.join(many.select("digest", F.col("best.chars").alias("chars"), (-F.col("best.neg_id")).alias("ident")), ["digest", "chars", "ident"])
     # Rows that tie with the kept one may hold other texts only under a weak digest: one of them is the locator's.
     first = first.groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    hits = some.join(first, "digest").select("digest", "ident", "chars", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
-    odd = common.saved(hits.where("other is not null").select("digest").distinct(), f"{base}/odd")
+    hits = some.join(first, "digest").where(F.col("norm") != F.col("kept_norm"))
+    odd = common.saved(hits.select("digest").distinct(), f"{base}/odd")
 
-    light = docs.select("doc_id", "ident", "chars", "digest", F.sha2("norm", 256).alias("text_sha256"))
+    light = rows.select("doc_id", "ident", "chars", "digest", "text_sha256")
     out = light.join(state, "digest").select("doc_id", "ident", "chars", "digest", "text_sha256", "size", F.col("best.chars").alias("keep_chars"), (-F.col("best.neg_id")).alias("keep"))
     if not odd.isEmpty():
         # One digest, several texts: the text itself is the key.
-        differ = docs.join(odd, "digest", "left_semi")
+        differ = rows.join(odd, "digest", "left_semi")
         by = differ.groupBy("digest", "norm").agg(F.count("*").alias("size"), F.max(F.struct("chars", (-F.col("ident")).alias("neg_id"))).alias("best"))
-        differ = differ.join(by, ["digest", "norm"]).select("doc_id", "ident", "chars", "digest", F.sha2("norm", 256).alias("text_sha256"), "size", F.col("best.chars").alias("keep_chars"), (-F.col("best.neg_id")).alias("keep"))
+        differ = differ.join(by, ["digest", "norm"]).select("doc_id", "ident", "chars", "digest", "text_sha256", "size", F.col("best.chars").alias("keep_chars"), (-F.col("best.neg_id")).alias("keep"))
         out = out.join(odd, "digest", "left_anti").unionByName(differ)
     return out.select(
         "doc_id",

@@ -155,7 +155,12 @@ def features(block: tuple[str, list[str], int]) -> list[int]:
     if "©" in text:
         own.add("copyright")
     tail = [x for x in names if x[0] != "@"]
-    own.add(f"leaf:{tail[-1] if tail else '-'}")
+    for k, x in enumerate(tail[:-4:-1]):
+        own.add(f"up{k}:{x}")
+    near = next((k for k in range(len(names) - 1, -1, -1) if names[k][0] == "@"), None)
+    while near is not None and near >= 0 and names[near][0] == "@":
+        own.add(f"near:{names[near]}")
+        near -= 1
     return [_HASHES[x] for x in own]
 
 
@@ -188,7 +193,7 @@ class Chain:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 60, rate: float = 0.3, l2: float = 2e-3) -> Chain:
+def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 100, rate: float = 0.3, l2: float = 3e-4) -> Chain:
     """A chain from (features, labels) of pages, by full gradients of the likelihood."""
     n = 1 << FEATURES_LOG2
     w, trans = np.zeros(n), np.zeros((2, 2))
@@ -243,7 +248,7 @@ _FURNITURE = {
 _ARTICLE = "article content main post entry story body text page primary maincontent articlebody".split()
 
 
-def labelled_pages(n: int = 400, seed: int = 3) -> list[tuple[list[list[int]], list[int]]]:
+def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], list[int]]]:
     """Pages of many layouts with the label of each block; made by rule, not taken from data."""
     rng = random.Random(seed)
 
@@ -292,22 +297,22 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[tuple[list[list[int]], l
             own.append(f"<h1>{text(2, 12)}</h1>")
         for _ in range(rng.randint(1, 9)):
             r = rng.random()
-            if r < 0.6:
+            if r < 0.56:
                 own.append(f"<p>{rng.choice(['', '<b>', '<em>'])}{text(5, 120)}{rng.choice(['</p>', '</p>', '', '<br>' + text(5, 40) + '</p>'])}")
-            elif r < 0.7:
+            elif r < 0.66:
                 own.append(f"<h2>{text(1, 8)}</h2>")
-            elif r < 0.78:
+            elif r < 0.74:
                 own.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
-            elif r < 0.84:
+            elif r < 0.79:
                 own.append(f"<blockquote>{text(5, 40)}</blockquote>")
-            elif r < 0.88:
+            elif r < 0.82:
                 own.append(f"<pre>{text(3, 20)}</pre>")
-            elif r < 0.92:
+            elif r < 0.85:
                 own.append(f"<table><tr><td>{text(1, 5)}</td><td>{text(1, 5)}</td></tr></table>")
-            elif r < 0.96:
+            elif r < 0.88:
                 own.append(f'<p>{text(3, 20)} <a href="#">{text(1, 4)}</a> {text(3, 20)}</p>')
             else:
-                own.append("\0" + furniture(rng.choice(["div", "aside", "form"])))
+                own.append("\0" + furniture(rng.choice(["div", "div", "aside", "form", "nav", "section"])))
         tag = rng.choice(["article", "article", "main", "div", "section"])
         wrap = attr(_ARTICLE) or (' class="content"' if tag in ("div", "section") else "")
 
