@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ionflow.llm import common, textvec
 
@@ -302,4 +302,6 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the smallest doc_id stays, once."""
     comp, _ = jaccard_components(spark, docs)
     first = comp.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    own = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1").drop("__row")
+    return own.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,6 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 SQL = {
+    "op3_warc_index": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+""",
     "op8_line_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (

@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionflow.llm import embedding_forest, exact_dedup, license_diagonal, line_dedup, ngram_join, oracles, source_mix, toxicity_crf
+from ionflow.llm import embedding_forest, exact_dedup, html_crf, license_diagonal, line_dedup, ngram_join, oracles, sentencepiece_fst, source_mix, toxicity_crf, warc_index
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(spark, _read(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(spark, _read(spark, sf_dir, "pages"))
+
+
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archive(spark, _read(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_crf.score(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -44,6 +56,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_html_extraction": op2_html_extraction,
+        "op3_warc_index": op3_warc_index,
         "op4_toxicity": op4_toxicity,
         "op5_license_scans": op5_license_scans,
         "op6_source_mix": op6_source_mix,
