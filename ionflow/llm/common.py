@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -47,6 +48,18 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ionflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
     """Write df to path as Parquet and return the table read from there."""
     schema = df.schema

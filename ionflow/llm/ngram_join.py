@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ionflow.llm import common, textvec
 
-#: Entries of the count table behind the global order: 16 MB, whatever the input.
-BUCKETS_LOG2 = 22
+#: Entries of the count table behind the global order: 8 MB, whatever the input.
+BUCKETS_LOG2 = 21
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 75
 #: Posting lists up to this length are compared in full at once.
@@ -85,10 +85,11 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(table: np.ndarray):
     """Prefix rows of each document; table: the counts by bucket."""
-    level = np.minimum(8 * np.log2(1.0 + table), 255).astype(np.uint8)
+    table = np.minimum(table, 2**40).astype(np.float32)
+    level = np.minimum(8 * np.log2(1 + table), 255).astype(np.uint8)
     #: a bucket far above the usual holds a frequent shingle; what is dealt by it is salted
     usual = np.median(table)
-    over = np.maximum(table - 2.0 * usual, 0) / SALT_ROWS
+    over = np.maximum(table - 2 * usual, 0) / SALT_ROWS
     salts = (1 << np.minimum(np.ceil(np.log2(1 + over)), 12).astype(np.int64)).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,8 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str,
     both = both.join(sets.toDF("a", "na_", "da", "ta"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
     part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, part int")
     total = part.groupBy("a", "b", "na", "nb", "da", "db").agg((F.sum("part") * FRAGMENTS / F.count("*")).alias("both"))
-    out = common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
+    with common.arrow_rows(spark, 250):
+        out = common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
     common.remove(spark, f"{base}/sets{tag}")
     common.release(spark)
     return out
@@ -254,6 +256,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     common.ship(spark)
     base = common.workdir(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with common.arrow_rows(spark, 1000):
+        return _joined(spark, docs, base)
+
+
+def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     scan = common.saved(docs.mapInArrow(_scan, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"), f"{base}/scan")
     rows = scan.where("chunk is null").select("doc_id", "n", "d1", "d2")
     counts = scan.where("chunk is not null").select("chunk", "counts").repartition(_CHUNKS, "chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
