@@ -8,7 +8,7 @@
 3. The order is cut into fragments; within each the overlap of candidate
    pairs is counted separately, and the partial counts are summed per pair.
 4. Links are joined to components. Long posting lists first compare all
-   documents with two of them; whatever then still lies in different
+   documents with a few of them; whatever then still lies in different
    components is compared in full, so that no link between components is lost
    and no list of near copies is expanded into all its pairs.
 
@@ -35,6 +35,8 @@ BUCKETS_LOG2 = 21
 WORDS, PERCENT = 5, 75
 #: Posting lists up to this length are compared in full at once.
 SHORT_LIST = 8
+#: In longer ones each is first compared with so many that have the fewest rare shingles, and the next one.
+LEADERS = 3
 #: Rows of a posting list that one task may get; longer ones are salted.
 SALT_ROWS = 512
 #: Fragments of the global order in which overlaps are counted.
@@ -133,7 +135,7 @@ def _may_link(na, nb, pa_, pb):
 
 
 def _pairs(second: bool):
-    """Candidate pairs of lists sorted by (tok, salt, doc); rows of long and salted lists also go on."""
+    """Candidate pairs of lists sorted by (tok, salt, pos, hash of doc); rows of long and salted lists also go on."""
 
     def emit(tok, salt, doc, n, pos):
         m = len(tok)
@@ -146,10 +148,10 @@ def _pairs(second: bool):
         left, right = [], []
         idx = np.arange(m)
         for k in range(1, SHORT_LIST):
-            i = idx[(idx + k < end) & (mine <= SHORT_LIST)]
+            i = idx[(idx + k < end) & ((k == 1) | (mine <= SHORT_LIST))]
             left.append(i)
             right.append(i + k)
-        for k in (0, 1):  # long lists: all with the first, all with the second
+        for k in range(LEADERS):
             i = idx[(mine > SHORT_LIST) & (idx > first + k)]
             left.append(first[i] + k)
             right.append(i)
@@ -270,10 +272,10 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
 
     prefix = docs.mapInArrow(_prefixes(table), "tok long, salt int, doc long, n int, pos int")
     shape = "kind int, a long, b long, na int, nb int, tok long"
-    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
+    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "pos", F.xxhash64("doc"), "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
     common.release(spark)
     leads = found.where("kind = 2").select("tok", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-    more = leads.repartition("tok").sortWithinPartitions("tok", "doc").mapInArrow(_pairs(True), shape)
+    more = leads.repartition("tok").sortWithinPartitions("tok", "pos", F.xxhash64("doc"), "doc").mapInArrow(_pairs(True), shape)
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
     copies = common.saved(rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct(), f"{base}/copies")
     pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), copies), f"{base}/pairs")
@@ -287,14 +289,13 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
     by = long.groupBy("tok", "component").agg(F.count("*").alias("m"))
     mixed = by.groupBy("tok").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     long = common.saved(long.join(mixed, "tok"), f"{base}/long")
-    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
+    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), "main")
+    # holds at the first shingle that a pair that links has in common
+    first = f"{100 + PERCENT} * least(nx - px, ny - py) >= {PERCENT} * (nx + ny)"
+    rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {first}")
+    rest = rest.select("x", "y", "nx", "ny").distinct()
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    # Pairs that meet in a short list are verified already: these have all common shingles of
-    # their prefixes in long lists, and at most a suffix more.
-    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
-    rest = rest.where(f"{100 + PERCENT} * (met + greatest(ceil({PERCENT} * na / 100), ceil({PERCENT} * nb / 100)) - 1) >= {PERCENT} * (na + nb)").drop("met")
     rest = common.saved(_of_classes(rest, copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
     if not rest.isEmpty():
         late = _verified(spark, docs, rest, base, "2")
