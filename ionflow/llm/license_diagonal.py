@@ -41,7 +41,8 @@ NOTICES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
 )
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same words before A-Z are put in lower case.
+_RAW_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -57,13 +58,14 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
 
 def scan(spark: SparkSession, docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
     """One row per document, and the verified spans (doc_id, tag, label, base, first, last, cover)."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    docs = docs.select("doc_id", text.alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    words = docs.select("doc_id", "tag", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
-    grams = words.where(F.size("w") >= GRAM).select(
-        "doc_id", "tag", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("w1"), F.expr("slice(w, 3, greatest(size(w) - 2, 0))").alias("w2"))).alias("pos", "g")
-    ).select("doc_id", "tag", "pos", F.col("g.w0").alias("w0"), F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"))
+    raw = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = raw.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    # lower() is far cheaper than translate(). Beyond A-Z it changes words that no template has, but
+    # for the Kelvin sign, which it would make a k, and no word's bounds.
+    text = F.lower(F.replace("text", F.lit("\u212a"), F.lit("\u00c0")))
+    words = docs.select("doc_id", "tag", F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("w"))
+    zipped = F.arrays_zip(F.col("w").alias("w0"), F.expr("slice(w, 2, size(w))").alias("w1"), F.expr("slice(w, 3, size(w))").alias("w2"))
+    grams = words.select("doc_id", "tag", F.posexplode(zipped).alias("pos", "g")).select("doc_id", "tag", "pos", F.col("g.w0").alias("w0"), F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"))
     tpl = F.broadcast(templates(spark, phrases, notices))
     same = (F.xxhash64("w0", "w1", "w2") == F.col("h")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))
     hits = grams.join(tpl, same).select("doc_id", "tag", "template", "label", "base", "n_template", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
@@ -85,7 +87,7 @@ def scan(spark: SparkSession, docs: DataFrame, phrases=PHRASES, notices=NOTICES)
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("found"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(~F.col("base") | F.col("found"), F.col("cover"))).alias("score"),
     )
-    light = docs.select("doc_id", "tag", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")).alias("d")
+    light = docs.select("doc_id", "tag", F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words")).alias("d")
     per = per.alias("p")
     out = light.join(per, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tag") == F.col("p.tag")), "left").select(
         "d.doc_id",
