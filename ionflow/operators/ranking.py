@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from ionflow.functions.hashing import seed_for
 from ionflow.operators.features import FEATURES
 
-_MOLECULE = W.partitionBy("molecule_id")
+def _molecule():
+    return W.partitionBy("molecule_id")
 
 
 def baseline(cands: DataFrame) -> DataFrame:
     """rank and score (n, n - 1, ..., 1) by support, explained intensity, mass error and formula."""
-    by = _MOLECULE.orderBy(F.desc("support"), F.desc(F.round("intensity_fraction_mean", 9)), F.round("mean_abs_ppm", 9), "formula")
+    by = _molecule().orderBy(F.desc("support"), F.desc(F.round("intensity_fraction_mean", 9)), F.round("mean_abs_ppm", 9), "formula")
     out = cands.withColumn("rank", F.row_number().over(by))
-    return out.withColumn("score", (F.count("*").over(_MOLECULE) - F.col("rank") + 1).cast("double"))
+    return out.withColumn("score", (F.count("*").over(_molecule()) - F.col("rank") + 1).cast("double"))
 
 
 def mass_only(cands: DataFrame) -> DataFrame:
-    return cands.withColumn("rank", F.row_number().over(_MOLECULE.orderBy(F.desc("support"), F.round("mean_abs_ppm", 9), "formula")))
+    return cands.withColumn("rank", F.row_number().over(_molecule().orderBy(F.desc("support"), F.round("mean_abs_ppm", 9), "formula")))
 
 
 def by_score(cands: DataFrame, score: str = "score") -> DataFrame:
-    return cands.withColumn("rank", F.row_number().over(_MOLECULE.orderBy(F.desc(score), "formula")))
+    return cands.withColumn("rank", F.row_number().over(_molecule().orderBy(F.desc(score), "formula")))
 
 
 def rank_of_target(rows: DataFrame, group: str, score: str, label: str, order: str) -> DataFrame:
