@@ -230,12 +230,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str, tag: str) -> DataFrame:
     """The pairs that link, from partial overlaps of each fragment of the order."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = common.saved(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, toks array<binary>"), f"{base}/sets{tag}")
+    # sort-merge joins at every size: plans, and so disk, grow in proportion
+    sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, toks array<binary>"), f"{base}/sets{tag}")
     common.release(spark)
     # rows that repeat a doc_id can hold different texts, told apart by size and digest, or the
     # same one, when each of k * FRAGMENTS rows of a pair repeats k times
-    both = pairs.join(sets.toDF("b", "nb_", "db", "tb"), "b").where("nb = nb_").drop("nb_")
-    both = both.join(sets.toDF("a", "na_", "da", "ta"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
+    both = pairs.join(sets.toDF("b", "nb_", "db", "tb").hint("merge"), "b").where("nb = nb_").drop("nb_")
+    both = both.join(sets.toDF("a", "na_", "da", "ta").hint("merge"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
     part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, part int")
     total = part.groupBy("a", "b", "na", "nb", "da", "db").agg((F.sum("part") * FRAGMENTS / F.count("*")).alias("both"))
     with common.arrow_rows(spark, 250):
