@@ -7,12 +7,11 @@ import json
 import os
 from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ionflow.config import EngineConfig
 from ionflow.operators import candidates as cand, features as feat, ranking, spectra as S
-from ionflow.sources import files
+from ionflow.sources import files, tables
 
 
 def _failures(norm: DataFrame) -> DataFrame:
@@ -60,11 +59,10 @@ class FormulaEngine:
 
     def candidate_features(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Candidates with features, spectra that count, and failed molecules (molecule_id, status, message)."""
-        spectra, failed = self.used(self.normalized(rows).persist(StorageLevel.MEMORY_AND_DISK))
         # read by the searches, the support and each spectrum's evidence
-        spectra = spectra.persist(StorageLevel.MEMORY_AND_DISK)
+        spectra, failed = self.used(tables.materialize(self.normalized(rows), "spectra"))
         found, over = cand.candidates(spectra, self.config, self.search)
-        x = feat.extract(found, spectra, self.config)
+        x = tables.materialize(feat.extract(tables.materialize(found, "candidates"), spectra, self.config), "features")
         late = x.where("exceeded").select("molecule_id").union(over).distinct()
         limit = late.select("molecule_id", F.lit("resource_limit").alias("status"), F.lit(f"search exceeds {self.config.max_search_results} results").alias("message"))
         return x.where("not exceeded").drop("exceeded").join(late, "molecule_id", "left_anti"), spectra, failed.unionByName(limit)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ionflow.config import EngineConfig
 from ionflow.functions import chemistry as C
 from ionflow.operators import features as feat, ranking
-from ionflow.sources import files
+from ionflow.sources import files, tables
 
 CUTS = (1, 5, 10, 25)
 
@@ -74,7 +74,6 @@ def groups_of(rows: DataFrame) -> DataFrame:
 def records(engine, rows: DataFrame, seen: DataFrame, ablations: bool = True) -> DataFrame:
     """One record a molecule: ranks of the truth by each order, flags, and what strata need."""
     x, spectra, failed = engine.candidate_features(rows)
-    x = x.persist()
     truth = groups_of(rows)
     first = spectra.groupBy("molecule_id").agg(F.min_by(C.neutral_mass(F.col("precursor_mz"), F.col("shift")), "row_ord").alias("neutral_mass"), F.array_sort(F.collect_set(F.when(F.col("charge") > 0, "positive").otherwise("negative"))).alias("modes"))
 
@@ -102,7 +101,7 @@ def evaluate(engine, prepared: str, split: str = "test", max_molecules: int | No
     if seen is None:
         seen = files.read_json(f"{prepared}/train_formulas.json")
     known = spark.createDataFrame([(f,) for f in seen] or [("",)], "formula string")
-    rec = records(engine, rows, known, ablations).persist()
+    rec = tables.materialize(records(engine, rows, known, ablations), "records")
     names = ["mass_only_rank", "baseline_rank", *(["single_spectrum_rank"] if ablations else [])]
     return {
         **metrics(rec).first().asDict(),
