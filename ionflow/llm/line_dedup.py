@@ -128,7 +128,7 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHAR
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, counts, gone = [], [], []
-        for t, z in zip(b.column("text"), b.column("keep")):
+        for t, z in zip(b.column("text"), b.column("__keep")):
             lines = (t.as_py() or "").split("\n")
             n = len(lines)
             if z.is_valid:
@@ -137,7 +137,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("\n".join(lines))
             counts.append(n)
             gone.append(n - len(lines))
-        rest = [(c, b.column(c)) for c in b.schema.names if c not in ("text", "keep")]
+        rest = [(c, b.column(c)) for c in b.schema.names if c not in ("text", "__keep")]
         made = [("text", pa.array(texts, pa.string())), ("n_lines", pa.array(counts, pa.int64())), ("n_dropped", pa.array(gone, pa.int64()))]
         yield pa.record_batch([v for _, v in rest + made], names=[k for k, _ in rest + made])
 
@@ -146,9 +146,9 @@ def apply_bitmaps(spark: SparkSession, docs: DataFrame, bitmaps: DataFrame) -> D
     """docs with the kept lines as text, and n_lines and n_dropped."""
     rest = [f for f in docs.schema.fields if f.name not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(*(F.col(f"`{f.name}`") for f in rest), _text().alias("text"), _ident().alias("__doc"), F.xxhash64(_text()).alias("__tag"))
-    rows = rows.join(bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "keep"), ["__doc", "__tag"], "left").drop("__doc", "__tag")
+    rows = rows.join(bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("keep").alias("__keep")), ["__doc", "__tag"], "left").drop("__doc", "__tag")
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["text string", "n_lines long", "n_dropped long"])
-    return rows.select(*(F.col(f"`{f.name}`") for f in rest), "text", "keep").mapInArrow(_apply, shape)
+    return rows.select(*(F.col(f"`{f.name}`") for f in rest), "text", "__keep").mapInArrow(_apply, shape)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
