@@ -213,7 +213,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The overlap of each pair in each fragment: FRAGMENTS rows a pair."""
+    """The overlap of each pair in each fragment, counted apart."""
     for b in batches:
         out = np.zeros(b.num_rows * FRAGMENTS, np.int32)
         xs, ys = b.column("ta").flatten(), b.column("tb").flatten()
@@ -223,8 +223,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 out[k] = int((both[1:] == both[:-1]).sum())
-        again = pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))
-        yield pa.record_batch([*(b.column(c).take(again) for c in ("a", "b", "na", "nb", "da", "db")), pa.array(out)], names=["a", "b", "na", "nb", "da", "db", "part"])
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, FRAGMENTS), pa.int32()), pa.array(out))
+        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb", "da", "db")), parts], names=["a", "b", "na", "nb", "da", "db", "parts"])
 
 
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str, tag: str) -> DataFrame:
@@ -233,12 +233,11 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str,
     # sort-merge joins at every size: plans, and so disk, grow in proportion
     sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, toks array<binary>"), f"{base}/sets{tag}")
     common.release(spark)
-    # rows that repeat a doc_id can hold different texts, told apart by size and digest, or the
-    # same one, when each of k * FRAGMENTS rows of a pair repeats k times
+    # rows that repeat a doc_id can hold different texts, told apart by size and digest
     both = pairs.join(sets.toDF("b", "nb_", "db", "tb").hint("merge"), "b").where("nb = nb_").drop("nb_")
     both = both.join(sets.toDF("a", "na_", "da", "ta").hint("merge"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
-    part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, part int")
-    total = part.groupBy("a", "b", "na", "nb", "da", "db").agg((F.sum("part") * FRAGMENTS / F.count("*")).alias("both"))
+    part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, parts array<int>")
+    total = part.withColumn("both", F.aggregate("parts", F.lit(0), lambda n, k: n + k))
     with common.arrow_rows(spark, 250):
         out = common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
     common.remove(spark, f"{base}/sets{tag}")
