@@ -12,8 +12,9 @@ Three machines are compiled from a model file and composed with each input:
   gives, so that exactly one path has a finite weight.
 
 The output is the path of least weight in the tropical semiring (min, +). No
-piece has U+2581 behind another character and none spans a line feed, so
-paths are found once per such segment and kept in a bounded table.
+piece has U+2581 behind another character, none spans a line feed, and some
+marks never stand behind letters in one, so paths are found once per such
+segment and kept in a bounded table.
 
 Null text gives null pieces and null text; the empty text gives no pieces.
 Decoding gives the text back exactly, but for U+2581 itself, which reads as a
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +78,14 @@ class Transducer:
                 node = node.setdefault(ch, {})
             node[0] = k
         inner = {ch for p in self.ids if len(p) > 1 for ch in p}
+        # marks that no piece has behind a letter or digit: a segment may end before them
+        word = re.compile(r"\w")
+        marks = set(string.punctuation) - {"_"} - {y for p in self.ids for x, y in zip(p, p[1:]) if word.match(x)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or "\n" in inner:
             self.segment = re.compile(r"(?s).+")
+        elif marks:
+            m = re.escape("".join(sorted(marks)))
+            self.segment = re.compile(rf" *[^ \n\w]*\w+(?=[{m}])| *[^ \n]+| +|\n")
         else:
             self.segment = re.compile(" +[^ \n]*|\n|[^ \n]+")
         self.kept: dict[str, bytes] = {}
@@ -133,41 +141,57 @@ class Transducer:
                 return False
 
     def _bpe_path(self, s: str) -> list[int]:
-        """The one path of finite weight. Each position has one finite state, since each beginning has one such path."""
-        n = len(s)
-        came: list[tuple[int, int] | None] = [None] * (n + 1)  # (position before, piece; -1: bytes)
-        came[0] = (0, -1)
-        pair, root = self.pair, self.trie
-        for i in range(n):
-            if came[i] is None:
-                continue
-            last, node, j = came[i][1], root, i
-            while j < n:
-                node = node.get(s[j])
-                if node is None:
-                    break
-                j += 1
-                piece = node.get(0)
-                if piece is None or came[j] is not None:
+        """The one path of finite weight, depth first, longest arcs first.
+
+        Each beginning of s has one such path, so that a position from which there
+        is no way on is never entered again.
+        """
+        n, root, pair = len(s), self.trie, self.pair
+        arcs: list[list[tuple[int, int]] | None] = [None] * n
+        path: list[tuple[int, int, int]] = []  # (position, piece from there, piece before)
+        dead, i, last = set(), 0, -1
+        while i < n:
+            own = arcs[i]
+            if own is None:
+                own, node, j = [], root, i
+                while j < n:
+                    node = node.get(s[j])
+                    if node is None:
+                        break
+                    j += 1
+                    if 0 in node:
+                        own.append((j, node[0]))
+                if not own or own[0][0] > i + 1:
+                    own.append((i + 1, -1))  # the arcs of its bytes
+                arcs[i] = own
+            while own:
+                j, piece = own.pop()
+                if j in dead:
                     continue
-                key = last * 65536 + piece
-                ok = pair.get(key)
-                if ok is None:
-                    if len(pair) >= KEPT:
-                        pair.clear()
-                    ok = pair[key] = self.bigram(last, piece) if last >= 0 else self._steps(piece) is not None
-                if ok:
-                    came[j] = (i, piece)
-            if s[i] not in root or 0 not in root[s[i]]:
-                came[i + 1] = (i, -1)
-        if came[n] is None:
-            raise ValueError(f"no path for {s!r}")
-        out, j = [], n
-        while j > 0:
-            i, piece = came[j]
-            out.append([self.bytes[b] for b in s[i:j].encode()] if piece < 0 else [piece])
-            j = i
-        return [p for part in reversed(out) for p in part]
+                if piece >= 0:
+                    key = last * 65536 + piece
+                    ok = pair.get(key)
+                    if ok is None:
+                        if len(pair) >= KEPT:
+                            pair.clear()
+                        ok = pair[key] = self.bigram(last, piece) if last >= 0 else self._steps(piece) is not None
+                    if not ok:
+                        continue
+                path.append((i, piece, last))
+                i, last = j, piece
+                break
+            else:
+                dead.add(i)
+                if not path:
+                    raise ValueError(f"no path for {s!r}")
+                i, _, last = path.pop()
+        out = []
+        for i, piece, _ in path:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.bytes[b] for b in s[i].encode()]
+        return out
 
     def _unigram_path(self, s: str) -> list[int]:
         """The path of least summed weight; ties go to the longer last piece."""
