@@ -15,20 +15,19 @@ _FALLBACK_DIR: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the executors once per application, as a zip."""
+    """Send the package's source to the executors once per application, as a zip."""
     sc = spark.sparkContext
-    if getattr(sc, "_ionflow_llm_shipped", False):
+    if getattr(sc, "_ionflow_shipped", False):
         return
-    here = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(here)
-    out = os.path.join(tempfile.mkdtemp(prefix="ionflow"), "ionflow_llm.zip")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="ionflow"), "ionflow_source.zip")
     with zipfile.ZipFile(out, "w") as z:
-        z.write(os.path.join(root, "__init__.py"), "ionflow/__init__.py")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"ionflow/llm/{name}")
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.join("ionflow", os.path.relpath(os.path.join(folder, name), root)))
     sc.addPyFile(out)
-    sc._ionflow_llm_shipped = True
+    sc._ionflow_shipped = True
 
 
 def workdir(spark: SparkSession, name: str) -> str:
