@@ -12,6 +12,7 @@ from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS, MASS
 from ionflow.functions import chemistry as C
 from ionflow.operators import kernel
+from ionflow.sources import tables
 
 
 def windows(spectra: DataFrame, config: EngineConfig) -> DataFrame:
@@ -25,6 +26,7 @@ def windows(spectra: DataFrame, config: EngineConfig) -> DataFrame:
 
 def search_kernel(searches: DataFrame, config: EngineConfig) -> DataFrame:
     """(target, tol, vector, exceeded) by the numpy lattice: one row a formula, or one row exceeded."""
+    tables.ship(searches.sparkSession)
     limits, most = config.limits, config.max_search_results
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS
 from ionflow.functions import chemistry as C
 from ionflow.operators import kernel
+from ionflow.sources import tables
 
 # Names of the evidence of one spectrum, in order.
 PER_SPECTRUM = (
@@ -27,6 +28,7 @@ def evidence(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> Data
     A unit of work is a molecule's candidates (capped) with one of its spectra,
     so that a molecule with many spectra spreads over tasks.
     """
+    tables.ship(cands.sparkSession)
     da, ppm, most = config.fragment_da, config.fragment_ppm, config.max_search_results
 
     own = spectra.select("molecule_id", "spectrum_id", "charge", "delta", F.transform("peaks", lambda p: p["mz"]).alias("mzs"), F.transform("peaks", lambda p: p["intensity"]).alias("powers"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ionflow.functions.hashing import seed_for
 from ionflow.operators.features import FEATURES
+from ionflow.sources import tables
 
 def _molecule():
     return W.partitionBy("molecule_id")
@@ -50,6 +51,7 @@ def training_rows(ranked: DataFrame, truth: DataFrame, seed: int, hard: int = 12
     Molecules whose truth is no candidate, or is the only one, give none. A
     molecule's rows (capped candidates) are one group; each has its own seed.
     """
+    tables.ship(ranked.sparkSession)
     x = ranked.join(truth.select("molecule_id", F.col("formula").alias("truth")), "molecule_id").withColumn("label", (F.col("formula") == F.col("truth")).cast("int"))
     ok = x.groupBy("molecule_id").agg(F.max("label").alias("has"), F.count("*").alias("n")).where("has = 1 and n > 1").select("molecule_id")
     x = x.join(ok, "molecule_id", "left_semi").drop("truth")
@@ -220,6 +222,7 @@ def importance(model: Ranker) -> list[tuple[str, int]]:
 
 def scored(cands: DataFrame, model: Ranker) -> DataFrame:
     """cands with the model's score, in Arrow batches; the trees go with the task, a few MB."""
+    tables.ship(cands.sparkSession)
     names = cands.columns
 
     def run(batches):

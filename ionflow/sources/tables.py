@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame
 
@@ -28,3 +30,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ionflow/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark) -> None:
+    """Send the package's source to the executors once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ionflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="ionflow"), "ionflow_source.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in (n for n in sorted(names) if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("ionflow", os.path.relpath(path, root)))
+    sc.addPyFile(out)
+    sc._ionflow_shipped = True
