@@ -328,7 +328,8 @@ _EVID = _CANDS + f""", valid AS (SELECT DISTINCT pr.molecule_id, pr.row_ord, pr.
 ps AS (SELECT row_ord, mz, sum(intensity) AS i FROM peak GROUP BY 1, 2),
 pn AS (SELECT row_ord, mz, i / max(i) OVER (PARTITION BY row_ord) AS i FROM ps),
 pk AS (SELECT pn.*, greatest(0.5::DOUBLE, mz * 1e-5) AS tol FROM pn JOIN sp USING (row_ord) WHERE pn.i >= 0.001),
-part_ AS (SELECT l.c, l.h, l.n, l.o, l.m FROM lat l UNION ALL SELECT l.c, l.h + 25, l.n, l.o, l.m + 25 * {MASS['H']!r}::DOUBLE FROM lat l WHERE l.h <= 3 UNION ALL SELECT 11, l.h, l.n, l.o, l.m + (11 - l.c) * 12.0 FROM lat l WHERE l.c = 10 UNION ALL SELECT 0, 25 , 0, 0, 25 * {MASS['H']!r}::DOUBLE),
+part_ AS (SELECT c, h, n, o, c * {MASS['C']!r}::DOUBLE + h * {MASS['H']!r}::DOUBLE + n * {MASS['N']!r}::DOUBLE + o * {MASS['O']!r}::DOUBLE AS m
+  FROM generate_series(0, 11) t1(c), generate_series(0, 28) t2(h), generate_series(0, 3) t3(n), generate_series(0, 10) t4(o) WHERE c + h + n + o > 0),
 mt AS (SELECT v.molecule_id, v.row_ord, v.c, v.h, v.n, v.o, k.mz, k.i, min(abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) / k.tol) AS e
    FROM valid v JOIN pk k ON k.row_ord = v.row_ord JOIN part_ q ON abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) <= k.tol * (1 + 1e-8) AND q.c <= v.ic AND q.h <= v.ih AND q.n <= v.i_n AND q.o <= v.io GROUP BY ALL),
 sm AS (SELECT row_ord, count(*) AS np, sum(i) AS ti FROM pk GROUP BY 1)
