@@ -260,10 +260,14 @@ win AS (SELECT DISTINCT precursor_mz, adduct, shift, a, (precursor_mz / (1 + 10
 """
 
 
+def _all(spark, sf_dir, config):
+    """Every molecule's spectra, normalised."""
+    return S.normalize(S.with_ids(derived.spectra(spark, sf_dir)), config).where("charge is not null")
+
+
 def _few(spark, sf_dir):
-    """Every tenth molecule's spectra, normalised: the queries' molecules, not a cap."""
-    x = derived.spectra(spark, sf_dir).where("row_ord % 40 < 4")
-    return S.normalize(S.with_ids(x), SMALL).where("charge is not null")
+    """Every tenth molecule's spectra, as the SQL of the queries that read this has them: a part of the table."""
+    return _all(spark, sf_dir, SMALL).where("row_ord % 40 < 4")
 
 
 _HITS = D + _LATTICE + "SELECT DISTINCT round(w.target, 6) AS target, c, h, n, o FROM win w JOIN lat ON w.target > 0 AND abs(m - w.target) <= w.tol + 1e-9"
@@ -509,8 +513,15 @@ def q_prefixed_keys(spark, sf_dir):
 
 # Whole engine: rows only, or held against counts
 def _predicted(spark, sf_dir):
-    rows = derived.spectra(spark, sf_dir).where("row_ord % 40 < 4").select("molecule_id", "spectrum_id", *S.INFERENCE_COLUMNS, "row_ord")
-    return FormulaEngine(spark, SMALL).predict(rows, 5)
+    rows = derived.spectra(spark, sf_dir).select("molecule_id", "spectrum_id", *S.INFERENCE_COLUMNS, "row_ord")
+    return FormulaEngine(spark).predict(rows, 5)
+
+
+def _whole(spark, sf_dir):
+    """Candidates of every molecule within the engine's own limits, the spectra and the settings."""
+    config = EngineConfig()
+    x = _all(spark, sf_dir, config)
+    return cand.candidates(x, config)[0], x, config
 
 
 @query()
@@ -521,14 +532,14 @@ def q_predict(spark, sf_dir):
 
 @query()
 def q_features(spark, sf_dir):
-    c, x = _cands(spark, sf_dir)
-    return feat.extract(c, x, SMALL).select("molecule_id", "formula", *(_r(n).alias(n) for n in feat.FEATURES))
+    c, x, config = _whole(spark, sf_dir)
+    return feat.extract(c, x, config).select("molecule_id", "formula", *(_r(n).alias(n) for n in feat.FEATURES))
 
 
 @query()
 def q_baseline_rank(spark, sf_dir):
-    c, x = _cands(spark, sf_dir)
-    return ranking.baseline(feat.extract(c, x, SMALL)).select("molecule_id", "formula", "rank", "score")
+    c, x, config = _whole(spark, sf_dir)
+    return ranking.baseline(feat.extract(c, x, config)).select("molecule_id", "formula", "rank", "score")
 
 
 @query()
@@ -539,7 +550,7 @@ def q_poisson_bootstrap(spark, sf_dir):
 
 @query()
 def q_training_rows(spark, sf_dir):
-    c, x = _cands(spark, sf_dir)
+    c = _whole(spark, sf_dir)[0]
     r = ranking.mass_only(c).select("molecule_id", "formula", "rank")
     truth = derived.spectra(spark, sf_dir).select("molecule_id", F.col("molecular_formula").alias("formula")).distinct().groupBy("molecule_id").agg(F.min("formula").alias("formula"))
     return ranking.training_rows(r, truth, 42)
