@@ -8,7 +8,8 @@
    quotients target / (2 k + 1): all quotients safely above the last seat count
    at once, only the few near it are ranked.
 4. A source's blocks go to its shards in the same way, giving an integer quota
-   for each (source, shard). A shard is a seeded hash bucket of its documents.
+   for each (source, shard). A shard is a seeded hash bucket of its documents; a
+   source has as many as hold SHARD_WORDS words each, one at least.
 5. In a shard documents lie end to end in seeded order; the quota takes whole
    rounds of the shard and then as many consecutive blocks, from a seeded
    starting point. A document's part is what those blocks cover of it.
@@ -29,8 +30,10 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 #: Words of a block; a source's part differs from its target by half of it or little more.
 BLOCK_WORDS = 32
-#: Shards of each source: the unit of the seeded order.
+#: Most shards of a source: the unit of the seeded order.
 SHARDS = 256
+#: Words of a shard at the least, so that its run of blocks is long beside a document.
+SHARD_WORDS = 1 << 17
 SEED = 42
 
 
@@ -94,12 +97,15 @@ def mix(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS, sh
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     sized = common.saved(sized.withColumn("shard", F.pmod(_seeded("shard", "doc_id"), F.lit(shards)).cast("int")), f"{base}/sized")
     cells = common.saved(sized.groupBy("source", "shard").agg(F.sum("size").alias("words")), f"{base}/cells")
+    # neighbouring buckets of a source join into one shard
+    n_shards = F.least(F.greatest(F.floor(F.col("source_size") / SHARD_WORDS), F.lit(1)), F.lit(shards))
+    joined = F.floor(F.col("shard") * n_shards / shards).cast("int")
     src = targets(cells.groupBy("source").agg(F.sum("words").alias("size")))
     src = src.withColumn("one", F.lit(1)).withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long"))
     src = common.saved(sainte_lague(src, ["one"], "blocks", "target", "place").select("source", "source_size", "place", "target", F.col("quota").alias("source_quota")), f"{base}/sources")
-    quota = cells.alias("c").join(src.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.place", "shard", "words", "source_quota")
+    quota = cells.alias("c").join(src.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).groupBy("s.place", "source_quota", joined.alias("shard")).agg(F.sum("words").alias("words"))
     quota = common.saved(sainte_lague(quota, ["place"], "source_quota", "words", "shard").select("place", "shard", "words", (F.col("quota") * block_words).alias("want")), f"{base}/quota")
-    rows = sized.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "shard", "place", "source_size", "target")
+    rows = sized.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", joined.alias("shard"), "place", "source_size", "target")
     rows = rows.join(quota, ["place", "shard"])
     order = W.partitionBy("place", "shard").orderBy(_seeded("order", "doc_id"), "doc_id", "size")
     rows = rows.withColumn("begin", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
