@@ -2,8 +2,9 @@
 
 Words of labelled documents get token labels: toxic where the document is
 labelled toxic and the word or its beginning occurs in toxic documents far
-more often than chance allows. A CRF with two states and hashed word and
-word-beginning features is trained on these sequences by gradient descent of
+more often than chance allows; where a toxic document has no such word, as with
+few labels or in a rare language, its words of most evidence are taken. A CRF
+with two states and hashed word and word-beginning features is trained on these sequences by gradient descent of
 the exact likelihood (forward-backward). For every text, forward-backward
 gives each word's probability of being toxic; these are aggregated into a
 score, calibrated on the training documents, and into offending offsets.
@@ -38,8 +39,10 @@ PREFIXES = (4, 5, 6)
 VALUES = np.array([1.0, 0.4, 0.6, 0.8])
 HASH_LOG2 = 18
 STEPS, RATE, L2 = 40, 0.5, 1e-4
-#: Evidence, in nats, that a word goes with toxic documents, before its tokens are labelled.
-EVIDENCE = 16.0
+#: Evidence, in nats, that a word goes with toxic documents, at which its tokens are labelled in all of them.
+EVIDENCE = 10.0
+#: Where no word of a toxic document has it: the share of its best word's evidence, and as many documents, that a word needs at the least.
+SHARE, LEAST = 0.9, 1.99
 #: Words handled at once by forward-backward; a longer text alone may be more.
 GROUP = 1 << 20
 _KINDS = 1 + len(PREFIXES)
@@ -118,6 +121,16 @@ def _evidence(f: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(r > max(0.9, q), n * kl, 0.0)
 
 
+def _labels(f: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Of each word: whether its token is labelled toxic."""
+    by = _evidence(f, docs, toxic)
+    best = np.maximum.reduce([by[f[:, k]] for k in range(_KINDS)]) * toxic[docs]
+    most = np.zeros(len(toxic))
+    np.maximum.at(most, docs, best)
+    # a toxic document without a word of full evidence has its words of most evidence labelled
+    return best >= np.clip(SHARE * most, LEAST * -np.log(toxic.mean()), EVIDENCE)[docs]
+
+
 def train(texts: pa.Array, toxic: np.ndarray) -> dict:
     """A model from texts and their labels: feature weights, transitions, calibration."""
     size = _KINDS << HASH_LOG2
@@ -140,8 +153,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> dict:
     f, counts = np.asfortranarray(np.concatenate([_index(h) for h, _ in parts])), np.concatenate([c for _, c in parts])
     del parts
     docs = np.repeat(np.arange(len(counts)), counts)
-    strong = _evidence(f, docs, toxic) >= EVIDENCE
-    y = np.logical_or.reduce([strong[f[:, k]] for k in range(_KINDS)]) & toxic[docs]
+    y = _labels(f, docs, toxic)
     if not y.any():
         return none
     chains = Chains(counts)
