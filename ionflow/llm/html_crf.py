@@ -35,6 +35,10 @@ from ionflow.llm import common
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template iframe svg math object head title textarea".split())
+#: Of these, those whose content is text up to the literal end tag.
+RAW_TEXT = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in "script style noscript iframe title textarea template".split()}
+#: Start tags that do not end a head whose end tag is left out.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -46,6 +50,12 @@ _ENDS_P = BLOCK_TAGS - {"br", "button", "option", "select", "optgroup"}
 FEATURES_LOG2 = 14
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """Where the end tag of a raw element's text begins; the page's end if it has none."""
+    m = RAW_TEXT[tag].search(page, at)
+    return m.start() if m else len(page)
+
+
 def blocks(page: str) -> list[tuple[str, list[str], int]]:
     """(text, feature names, link characters) of each leaf block in page order."""
     out: list[tuple[str, list[str], int]] = []
@@ -67,12 +77,25 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
             text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        t = m.group()
+    at = 0
+    while at < len(page):
+        t = _TOKEN.match(page, at).group()
+        at += len(t)
         if skip is not None:
-            if t.startswith("</") and (n := _NAME.match(t)) and n[1].lower() == skip:
-                skip = None
-            continue
+            n = _NAME.match(t)
+            tag = n[1].lower() if n else None
+            if skip == "head" and (t.strip() if t[0] != "<" else tag and (tag not in HEAD_TAGS if t[1] != "/" else tag in ("body", "html", "br"))):
+                skip = None  # the end tag of head is left out: this is the body's
+            elif tag is None:
+                continue
+            elif t[1] == "/":
+                if tag == skip:
+                    skip = None
+                continue
+            else:
+                if tag in RAW_TEXT and not t.endswith("/>"):
+                    at = _raw_end(page, at, tag)
+                continue
         if t[0] != "<" or len(t) == 1:
             text.append(t)
             if in_link:
@@ -106,7 +129,10 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
                         break
         if tag in RAW_TAGS:
             if not t.endswith("/>"):
-                skip = tag
+                if tag in RAW_TEXT:
+                    at = _raw_end(page, at, tag)
+                else:
+                    skip = tag
             continue
         if tag in VOID_TAGS or t.endswith("/>"):
             continue
