@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ionflow.config import EngineConfig
@@ -11,6 +9,10 @@ from ionflow.constants import ELEMENTS
 from ionflow.functions import chemistry as C, hashing as H
 from ionflow.operators import spectra as S
 from ionflow.sources import files
+from ionflow.sources.tables import materialize
+
+#: Rows of a file of the prepared data aimed at.
+FILE_ROWS = 1_000_000
 
 PREPARED = (
     "precursor_mz double, adduct string, ionization_mode string, ms2_mzs array<double>, ms2_normalized_intensities array<double>, "
@@ -44,15 +46,24 @@ def source_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ingest_lib").agg(F.count("*").alias("spectra"), F.median(err).alias("provided_error_median_ppm"), nearest_quantile(err, 0.99).alias("provided_error_p99_ppm"))
 
 
-def label(formula: Column) -> Column:
-    """The canonical formula, the raw string where it is none, and a mark where it is null."""
-    return F.coalesce(C.format_formula(C.parse_formula(formula)), formula, F.lit("\x00"))
+def parsed_labels(rows: DataFrame) -> DataFrame:
+    """(molecular_formula, vector, mass, formula) of each distinct label that parses.
+
+    Written once: parsing is a long expression, which the optimizer would
+    otherwise repeat in every place that reads its result.
+    """
+    x = rows.select("molecular_formula").distinct().withColumn("vector", C.parse_formula(F.col("molecular_formula"))).where("vector is not null")
+    x = materialize(x, "labels")
+    return materialize(x.withColumn("mass", C.exact_mass(F.col("vector"))).withColumn("formula", C.format_formula(F.col("vector"))), "labels")
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Structures with more than one label: strings are parsed once each, not once a spectrum."""
+def conflicts(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Structures with more than one label: the canonical formula, the raw string where it is none, or null."""
+    labels = parsed_labels(rows) if labels is None else labels
     pairs = rows.where("inchikey14 is not null").select("inchikey14", "molecular_formula").distinct()
-    return pairs.groupBy("inchikey14").agg(F.count_distinct(label(F.col("molecular_formula"))).alias("labels")).where("labels > 1").select("inchikey14")
+    label = F.coalesce("formula", "molecular_formula", F.lit("\x00"))
+    pairs = pairs.join(labels.select("molecular_formula", "formula"), "molecular_formula", "left")
+    return pairs.groupBy("inchikey14").agg(F.count_distinct(label).alias("labels")).where("labels > 1").select("inchikey14")
 
 
 def audit(rows: DataFrame) -> dict:
@@ -82,11 +93,12 @@ def audit(rows: DataFrame) -> dict:
 
 def judged(rows: DataFrame, config: EngineConfig, bad: DataFrame | None = None) -> DataFrame:
     """rows with source, vector, formula, reason (null: accepted) and split; the first reason that holds."""
-    bad = (conflicts(rows) if bad is None else bad).select(F.col("inchikey14").alias("__bad")).distinct()
+    labels = parsed_labels(rows)
+    bad = (conflicts(rows, labels) if bad is None else bad).select(F.col("inchikey14").alias("__bad")).distinct()
     x = C.with_adduct(rows).join(bad, F.col("inchikey14") == F.col("__bad"), "left")
     x = x.withColumn("source", F.when(F.coalesce("ingest_lib", F.lit("")) == "", "unknown").otherwise(F.col("ingest_lib")))
-    x = x.withColumn("vector", C.parse_formula(F.col("molecular_formula")))
-    expected = C.mz(C.exact_mass(F.col("vector")), F.col("shift"))
+    x = x.drop("vector", "mass", "formula").join(labels, "molecular_formula", "left")
+    expected = C.mz(F.col("mass"), F.col("shift"))
     ion = C.ion_counts(F.col("vector"), F.col("delta"))
     measured = F.col("precursor_mz")
     status, _ = S.problem()
@@ -99,8 +111,8 @@ def judged(rows: DataFrame, config: EngineConfig, bad: DataFrame | None = None)
         .when(measured.isNull() | F.isnan(measured) | (F.abs(measured) == float("inf")) | (F.abs(C.ppm(measured, expected)) > 20), "precursor_error_gt20ppm")
         .when(status.isNotNull(), "invalid_spectrum")
     )
-    x = x.withColumn("reason", reason).withColumn("formula", C.format_formula(F.col("vector")))
-    return x.withColumn("split", F.when(F.col("reason").isNull(), H.split_for(F.col("inchikey14"), config.seed))).drop("__bad")
+    x = x.withColumn("reason", reason)
+    return x.withColumn("split", F.when(F.col("reason").isNull(), H.split_for(F.col("inchikey14"), config.seed))).drop("__bad", "mass")
 
 
 def tallies(rows: DataFrame) -> DataFrame:
@@ -128,30 +140,33 @@ def prepare(spark: SparkSession, path: str, output: str, config: EngineConfig, b
     """Write accepted spectra by split and bucket, with config, train formulas and manifest beside them."""
     files.require_new_dir(output)
     raw = files.with_row_index(spark, path)
-    mark = H.fingerprint(path)[:16] if os.path.isfile(path) else "0" * 16
-    x = judged(raw, config)
+    mark = files.mark(path)
+    # judged once: the steps below read the table
+    x = materialize(judged(raw, config), "judged")
     good = x.where("reason is null")
     bucket = H.bucket_for(F.col("inchikey14"), buckets)
     out = good.select(
         *S.INFERENCE_COLUMNS, F.col("inchikey14").alias("molecule_id"), F.concat(F.lit(mark + ":"), "row_ord").alias("spectrum_id"),
         F.col("formula").alias("molecular_formula"), F.col("source").alias("ingest_lib"), "row_ord", "split", bucket.alias("bucket"),
     )
-    # a bucket is one file; its rows stand by molecule and input order
-    out = out.repartition("split", "bucket").sortWithinPartitions("split", "bucket", "molecule_id", "row_ord")
+    by = tallies(x).collect()
+    accepted = sum(r["spectra"] for r in by if r["source"] is None and r["reason"] == "accepted")
+    # a bucket is as many files as its rows need, a molecule in one; its rows stand by molecule and input order
+    parts = 1 + accepted // (3 * buckets * FILE_ROWS)
+    out = out.repartition(3 * buckets * parts, "split", "bucket", F.pmod(F.xxhash64("molecule_id"), F.lit(parts))).sortWithinPartitions("split", "bucket", "molecule_id", "row_ord")
     out.write.partitionBy("split", "bucket").option("compression", "zstd").parquet(f"{output}/spectra")
     limits = element_limits(good).first().asDict()
-    by = tallies(x).collect()
     total = {r["reason"]: r["spectra"] for r in by if r["source"] is None}
     sources: dict = {}
     for r in by:
         if r["source"] is not None:
             sources.setdefault(r["source"], {})[r["reason"]] = r["spectra"]
     derived = EngineConfig(**{**config.to_dict(), "element_limits": limits})
-    accepted = total.pop("accepted", 0)
+    total.pop("accepted", None)
     report = {
         "file_fingerprint": mark,
         "input": path,
-        "input_rows": raw.count(),
+        "input_rows": accepted + sum(total.values()),
         "accepted_spectra": accepted,
         "accepted_by_split": {r[0]: r[1] for r in good.groupBy("split").count().collect()},
         "rejected": total,

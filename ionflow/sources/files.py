@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ionflow.functions import hashing as H
+from ionflow.sources.tables import materialize
+
 SPECTRUM = (
     "molecule_id string, spectrum_id string, precursor_mz double, adduct string, ionization_mode string, ms2_mzs array<double>, "
     "ms2_normalized_intensities array<double>, collision_energy_ev array<double>, base_peak_intensity double, instrument_type string"
@@ -23,10 +27,29 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def mark(path: str) -> str:
+    """16 hex digits of the content: of the file, or of its files in the order of their names."""
+    if os.path.isfile(path):
+        return H.fingerprint(path)[:16]
+    parts = sorted(os.path.join(folder, n) for folder, _, names in os.walk(path) for n in names if n.endswith(".parquet"))
+    return hashlib.sha256("".join(H.fingerprint(p) for p in parts).encode()).hexdigest()[:16]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of Parquet files with row_ord: the place in the file, after the rows of the files before it by name."""
+    if len(rows.inputFiles()) <= 1:
+        return rows.select("*", F.col("_metadata.row_index").alias("row_ord"))
+    at = rows.select("*", F.col("_metadata.row_index").alias("__at"), F.col("_metadata.file_path").alias("__file"))
+    # a row a file
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__file", (F.sum("__n").over(W.orderBy("__file")) - F.col("__n")).alias("__before"))
+    return at.join(before, "__file").withColumn("row_ord", F.col("__at") + F.col("__before")).drop("__at", "__file", "__before")
+
+
 def with_row_index(spark: SparkSession, path: str) -> DataFrame:
-    """A raw library with row_ord: the place of each row in its file."""
+    """A raw library with row_ord: the place of each row in the library."""
     rows = spark.read.parquet(path)
-    at = rows.select("*", F.col("_metadata.row_index").alias("row_ord"))
+    at = numbered(rows)
     for name, kind in _RAW.items():
         if name not in at.columns:
             at = at.withColumn(name, F.lit(None).cast(kind))
@@ -41,7 +64,7 @@ def read_spectra(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the input has no column molecule_id")
     if not rows.where("molecule_id is null").limit(1).isEmpty():
         raise ValueError("molecule_id must not be null")
-    return complete(rows.select("*", F.col("_metadata.row_index").alias("row_ord")))
+    return complete(numbered(rows))
 
 
 def from_mappings(spark: SparkSession, spectra: Iterable[Mapping], molecule_id: str) -> DataFrame:
@@ -125,7 +148,10 @@ def resume(rows: DataFrame, done: DataFrame, key: str = "molecule_id") -> DataFr
 
 def write_shards(rows: DataFrame, path: str, key: str, size: int) -> None:
     """Consecutive keys in shards of size: a partition a shard."""
-    ids = rows.select(key).distinct()
-    # keys are numbered by range partition: no single task sees all of them
-    n = ids.withColumn("shard", F.floor((F.row_number().over(W.orderBy(key)) - 1) / size).cast("int"))
-    rows.join(n, key).write.partitionBy("shard").parquet(path)
+    # keys are numbered within range partitions, and after the counts of the partitions before: no task sees all keys
+    ids = materialize(rows.select(key).distinct().repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "shard-keys")
+    counts = ids.groupBy("__part").count()
+    before = counts.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(key)) + F.col("__before") - 1
+    n = ids.join(before, "__part").select(key, F.floor(place / size).cast("int").alias("shard"))
+    rows.join(n, key).repartition("shard").write.partitionBy("shard").parquet(path)

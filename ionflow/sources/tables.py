@@ -18,6 +18,8 @@ def shared_folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="ionflow-tables-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
