@@ -154,17 +154,16 @@ class Ranker:
 
 def mrr(scores: np.ndarray, labels: np.ndarray, sizes: np.ndarray, k: int = 25, groups: int | None = None) -> float:
     """Mean reciprocal rank within k; groups may count those with no rows too."""
-    total, at = 0.0, 0
-    for n in sizes:
-        s, y = scores[at : at + n], labels[at : at + n]
-        at += n
-        hit = np.flatnonzero(y)
-        if len(hit):
-            i = hit[0]
-            rank = 1 + int((s > s[i]).sum()) + int((s[:i] == s[i]).sum())
-            total += 1 / rank if rank <= k else 0.0
+    sizes = np.asarray(sizes, np.int64)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    # places after a stable sort by score; the first positive row of a group counts
+    place = np.empty(len(group), np.int64)
+    place[np.lexsort((-np.asarray(scores), group))] = np.arange(len(group))
+    own, first = np.unique(group[np.asarray(labels) != 0], return_index=True)
+    rank = place[np.flatnonzero(labels)[first]] - start[own] + 1
     n = len(sizes) if groups is None else groups
-    return total / n if n else 0.0
+    return float((1 / rank[rank <= k]).sum()) / n if n else 0.0
 
 
 def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05, patience=50, least=20, l2=1e-3, valid_groups=None) -> Ranker:

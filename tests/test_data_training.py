@@ -72,6 +72,33 @@ def test_allocation_and_bootstrap(spark):
     assert len(means) == 40 and abs(np.mean(means) - 0.5) < 0.05 and 0.01 < np.std(means) < 0.1
 
 
+def test_allocation_gives_each_unit_to_the_largest_deficit():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = {f"s{k}": int(rng.integers(0, 40)) for k in range(rng.integers(1, 5))}
+        w = rng.integers(0, 4, len(n)) + 1e-9
+        prior = dict(zip(n, (w / w.sum()).tolist()))
+        low = {s: min(3, k) for s, k in n.items()}
+        budget = int(rng.integers(sum(low.values()), sum(n.values()) + 1))
+        units = sorted(((budget * prior[s] - k, s) for s in n for k in range(low[s], n[s])), reverse=True)[: budget - sum(low.values())]
+        assert stats.allocate(n, prior, budget, 3) == {s: low[s] + sum(u[1] == s for u in units) for s in n}
+
+
+def test_rows_of_several_files_are_numbered(spark, tmp_path):
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10, 1, 1).withColumnRenamed("id", "precursor_mz").write.mode("append").parquet(f"{tmp_path}/part-{k}")
+    at = files.numbered(spark.read.parquet(*(f"{tmp_path}/part-{k}" for k in range(3))))
+    assert sorted((r.row_ord, r.precursor_mz) for r in at.collect()) == [(k, k) for k in range(30)]
+    assert files.mark(str(tmp_path)) != files.mark(f"{tmp_path}/part-1")
+
+
+def test_shards_hold_consecutive_keys(spark, tmp_path):
+    rows = spark.range(95).selectExpr("lpad(id, 3, '0') as k", "id")
+    files.write_shards(rows, f"{tmp_path}/s", "k", 10)
+    got = spark.read.parquet(f"{tmp_path}/s").groupBy("shard").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).collect()
+    assert {(r.shard, r.a, r.b, r.n) for r in got} == {(k, 10 * k, min(10 * k + 9, 94), min(10, 95 - 10 * k)) for k in range(10)}
+
+
 def test_lambdamart_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60 * 20, 3))
