@@ -16,6 +16,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ionflow.llm import common
@@ -44,6 +46,12 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
+def _only(path: str) -> str:
+    """A glob that nothing but path matches: a stream takes a file, unlike a folder, by a glob alone."""
+    path = re.sub(r"([\\{}\[\]*?])", r"\\\1", path.rstrip("/"))
+    return re.sub(r"([0-9A-Za-z])(?=[^0-9A-Za-z]*$)", r"[\1]", path, count=1)
+
+
 def update_state(spark: SparkSession, path: str, checkpoint: str, digest=sha256) -> DataFrame:
     """Stream what is new under path into the state; the state as (digest, size, best).
 
@@ -54,8 +62,7 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest=sha256)
     try:
         for k, v in _STATE.items():
             spark.conf.set(k, v)
-        # A path with a glob may be a file or a folder.
-        rows = spark.readStream.schema(schema).parquet(f"{path}*")
+        rows = spark.readStream.schema(schema).parquet(_only(path))
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         best = F.struct(
             F.length(text).alias("chars"),
