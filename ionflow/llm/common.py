@@ -31,13 +31,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def workdir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir (a temporary one where unset).
+    """A new folder under spark.checkpoint.dir (a temporary one in local mode, where unset).
 
     All lineage cuts of the operators are tables written here, so that a lost
     executor never takes the only copy of an intermediate result with it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _FALLBACK_DIR or not os.path.isdir(_FALLBACK_DIR[0]):
             _FALLBACK_DIR[:] = [tempfile.mkdtemp(prefix="ionflow-shared-")]
             import atexit
@@ -47,6 +49,14 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ionflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, prefixed until df has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for the jobs run meanwhile."""

@@ -5,12 +5,15 @@
 2. A document's prefix in that order goes to the fragments of its shingles;
    documents that meet in one are candidates if a bound on their overlap,
    from sizes and places, can still reach the threshold.
-3. The order is cut into fragments; within each the overlap of candidate
-   pairs is counted separately, and the partial counts are summed per pair.
+3. The order is cut into fragments of equal mass; within each, the rarest
+   first, the overlap of candidate pairs is counted separately, and the partial
+   counts are summed per pair. A pair whose sum can no longer reach the
+   threshold goes no further.
 4. Links are joined to components. Long posting lists first compare all
    documents with a few of them; whatever then still lies in different
    components is compared in full, so that no link between components is lost
-   and no list of near copies is expanded into all its pairs.
+   and no list of near copies is expanded into all its pairs. The links
+   returned thus span the components; they need not be all links within one.
 
 Nulls and rows: a null or empty text has no shingles and links with nothing.
 Rows that repeat a doc_id count as one document, which has the links of each
@@ -41,6 +44,7 @@ LEADERS = 3
 SALT_ROWS = 512
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
+_PARTS = [f"t{k}" for k in range(FRAGMENTS)]
 _CHUNKS = 16
 
 
@@ -85,10 +89,30 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _prefixes(table: np.ndarray):
+def _levels(table: np.ndarray) -> np.ndarray:
+    """The global order by bucket: a level of its count; within a level the order is by hash."""
+    return np.minimum(8 * np.log2(1 + table.astype(np.float64)), 255).astype(np.uint8)
+
+
+def _place(v: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Places of shingles in the global order."""
+    bucket = (v >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    return (level[bucket].astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8))
+
+
+def _cuts(table: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Places where fragments begin after the first, so that each holds an equal share of all shingles."""
+    mass = np.bincount(level, table.astype(np.float64), minlength=256)
+    ends = np.cumsum(mass)
+    want = ends[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+    at = np.searchsorted(ends, want)
+    share = (want - (ends[at] - mass[at])) / np.maximum(mass[at], 1)
+    return (at.astype(np.uint64) << np.uint64(56)) | (np.clip(share, 0, 1) * (2**56 - 1)).astype(np.uint64)
+
+
+def _prefixes(table: np.ndarray, level: np.ndarray):
     """Prefix rows of each document; table: the counts by bucket."""
     table = np.minimum(table, 2**40).astype(np.float32)
-    level = np.minimum(8 * np.log2(1 + table), 255).astype(np.uint8)
     #: a bucket far above the usual holds a frequent shingle; what is dealt by it is salted
     usual = np.median(table)
     over = np.maximum(table - 2 * usual, 0) / SALT_ROWS
@@ -103,8 +127,7 @@ def _prefixes(table: np.ndarray):
             for i, j, v, r in _sets(b.column(1)):
                 if not len(v):
                     continue
-                bucket = (v >> shift).astype(np.int64)
-                v, r, n = textvec.distinct_by_row(v, r, j - i, (level[bucket].astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8)))
+                v, r, n = textvec.distinct_by_row(v, r, j - i, _place(v, level))
                 start = np.cumsum(n) - n
                 # copies within a task go once
                 dig = np.zeros(j - i, np.uint64)
@@ -197,50 +220,69 @@ def _pairs(second: bool):
     return run
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's shingles, sorted and packed, cut where the fragments of the order end."""
-    for b in batches:
-        for i, j, v, r in _sets(b.column(1)):
-            v, r, n = textvec.distinct_by_row(v, r, j - i)
-            dig = np.zeros(j - i, np.uint64)
-            if len(v):
-                dig[n > 0] = np.add.reduceat(textvec.mix(v), (np.cumsum(n) - n)[n > 0])
-            size = np.bincount(r * FRAGMENTS + (v >> np.uint64(62)).astype(np.int64), minlength=(j - i) * FRAGMENTS)
-            ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(v.tobytes())])
-            data = pa.ListArray.from_arrays(pa.array(np.arange(0, len(size) + 1, FRAGMENTS), pa.int32()), data)
-            yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(dig.view(np.int64)), data], names=["doc", "n", "d", "toks"])
+def _fragments(level: np.ndarray, cuts: np.ndarray):
+    """Each document's shingles by fragment of the global order: a column a fragment, sorted and packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, v, r in _sets(b.column(1)):
+                m = j - i
+                v, r, n = textvec.distinct_by_row(v, r, m)
+                dig = np.zeros(m, np.uint64)
+                if len(v):
+                    dig[n > 0] = np.add.reduceat(textvec.mix(v), (np.cumsum(n) - n)[n > 0])
+                part = np.searchsorted(cuts, _place(v, level), "right")
+                columns = []
+                for k in range(FRAGMENTS):
+                    own = part == k
+                    size = np.bincount(r[own], minlength=m)
+                    ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(v[own].tobytes())]))
+                yield pa.record_batch([b.column(0).slice(i, m), pa.array(n.astype(np.int32)), pa.array(dig.view(np.int64)), *columns], names=["doc", "n", "d", *_PARTS])
+
+    return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The overlap of each pair in each fragment, counted apart."""
+    """The overlap of each pair in one fragment, and how many shingles each has in it."""
     for b in batches:
-        out = np.zeros(b.num_rows * FRAGMENTS, np.int32)
-        xs, ys = b.column("ta").flatten(), b.column("tb").flatten()
-        for k, (x, y) in enumerate(zip(xs, ys)):
+        here, xs, ys = np.zeros((3, b.num_rows), np.int32)
+        for k, (x, y) in enumerate(zip(b.column("ta"), b.column("tb"))):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            xs[k], ys[k] = len(x), len(y)
             if len(x) and len(y):
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                out[k] = int((both[1:] == both[:-1]).sum())
-        parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, FRAGMENTS), pa.int32()), pa.array(out))
-        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb", "da", "db")), parts], names=["a", "b", "na", "nb", "da", "db", "parts"])
+                here[k] = int((both[1:] == both[:-1]).sum())
+        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb", "da", "db", "both", "ra", "rb")), pa.array(here), pa.array(xs), pa.array(ys)], names=["a", "b", "na", "nb", "da", "db", "both", "ra", "rb", "here", "xa", "xb"])
+
 
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple, base: str, tag: str) -> DataFrame:
+    """The pairs that link: overlaps are counted fragment by fragment, rarest shingles first, and summed per pair.
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, base: str, tag: str) -> DataFrame:
-    """The pairs that link, from partial overlaps of each fragment of the order."""
+    A fragment is a stage of its own that reads only its column of the sets. A
+    pair goes on while its sum and what both still have can reach the threshold.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # sort-merge joins at every size: plans, and so disk, grow in proportion
-    sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments, "doc long, n int, d long, toks array<binary>"), f"{base}/sets{tag}")
+    shape = "doc long, n int, d long, " + ", ".join(f"{c} binary" for c in _PARTS)
+    sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments(*cut), shape), f"{base}/sets{tag}")
     common.release(spark)
     # rows that repeat a doc_id can hold different texts, told apart by size and digest
-    both = pairs.join(sets.toDF("b", "nb_", "db", "tb").hint("merge"), "b").where("nb = nb_").drop("nb_")
-    both = both.join(sets.toDF("a", "na_", "da", "ta").hint("merge"), "a").where("na = na_").select("a", "b", "na", "nb", "da", "db", "ta", "tb")
-    part = both.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, parts array<int>")
-    total = part.withColumn("both", F.aggregate("parts", F.lit(0), lambda n, k: n + k))
-    with common.arrow_rows(spark, 250):
-        out = common.saved(total.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
-    common.remove(spark, f"{base}/sets{tag}")
+    left = pairs.select("a", "b", "na", "nb", F.lit(None).cast("long").alias("da"), F.lit(None).cast("long").alias("db"), F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
+    for k, part in enumerate(_PARTS):
+        for c in ("b", "a"):
+            own = sets.select(F.col("doc").alias(c), F.col("n").alias("n_"), F.col("d").alias("d_"), F.col(part).alias(f"t{c}")).hint("merge")
+            left = left.join(own, c).where(f"n{c} = n_ and d_ = coalesce(d{c}, d_)").withColumn(f"d{c}", F.col("d_")).drop("n_", "d_")
+        left = left.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, both int, ra int, rb int, here int, xa int, xb int")
+        left = left.select("a", "b", "na", "nb", "da", "db", F.expr("both + here").alias("both"), F.expr("ra - xa").alias("ra"), F.expr("rb - xb").alias("rb"))
+        left = left.where(f"100 * (both + least(ra, rb)) >= {PERCENT} * (na + nb - both - least(ra, rb))")
+        with common.arrow_rows(spark, 250):
+            left = common.saved(left, f"{base}/partial{tag}{k}")
+        if k:
+            common.remove(spark, f"{base}/partial{tag}{k - 1}")
+    out = common.saved(left.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
+    common.remove(spark, f"{base}/sets{tag}", f"{base}/partial{tag}{len(_PARTS) - 1}")
     common.release(spark)
     return out
 
@@ -270,7 +312,9 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
     for c, z in counts.collect():  # as many entries as the table has, whatever the input
         table[c * (len(table) // _CHUNKS) : (c + 1) * (len(table) // _CHUNKS)] = np.frombuffer(z, np.uint64)
 
-    prefix = docs.mapInArrow(_prefixes(table), "tok long, salt int, doc long, n int, pos int")
+    level = _levels(table)
+    cut = (level, _cuts(table, level))
+    prefix = docs.mapInArrow(_prefixes(table, level), "tok long, salt int, doc long, n int, pos int")
     shape = "kind int, a long, b long, na int, nb int, tok long"
     found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "pos", F.xxhash64("doc"), "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
     common.release(spark)
@@ -279,7 +323,7 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
     copies = common.saved(rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct(), f"{base}/copies")
     pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), copies), f"{base}/pairs")
-    links = _verified(spark, docs, pairs, base, "1")
+    links = _verified(spark, docs, pairs, cut, base, "1")
     copies_ = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = common.saved(common.components(spark, links.union(copies_), f"{base}/c1"), f"{base}/comp1")
 
@@ -298,7 +342,7 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
     rest = common.saved(_of_classes(rest, copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
     if not rest.isEmpty():
-        late = _verified(spark, docs, rest, base, "2")
+        late = _verified(spark, docs, rest, cut, base, "2")
         if not late.isEmpty():
             links = links.union(late)
             comp = common.saved(common.components(spark, links.union(copies_), f"{base}/c2"), f"{base}/comp2")
@@ -311,5 +355,6 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     comp, _ = jaccard_components(spark, docs)
     first = comp.where("doc_id = component_id").select("doc_id").distinct()
     one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    own = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1").drop("__row")
-    return own.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    place = common.free_name(docs, "row")
+    own = docs.join(first, "doc_id", "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(place)
+    return own.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where("doc_id is null"))

@@ -2,11 +2,13 @@
 
 Works on the UTF-8 bytes of the column directly: a polynomial hash modulo 2^64
 of every word comes from one prefix sum over the bytes, so that the cost is a
-few nanoseconds a byte and no Python object is made per word.
+few nanoseconds a byte and no Python object is made per word. Long words, for
+which such a hash has known collisions, are hashed by BLAKE2 instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes handled at once; longer texts are cut at a separator and rejoined.
 CHUNK = 1 << 20
+#: Bytes of a word beyond which it gets a cryptographic hash.
+LONG_WORD = 48
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,10 +68,14 @@ class WordHasher:
         power, inv = self._powers(len(buf))
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.table[buf] * power, out=total[1:])
+        whole = mix((total[e] - total[s]) * inv[s])
+        for k in np.flatnonzero(e - s > LONG_WORD).tolist():
+            word = buf[s[k] : e[k]].tobytes().lower()  # of bytes: A-Z alone
+            whole[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if not self.prefixes:
-            return mix((total[e] - total[s]) * inv[s]), s, e - s
-        ends = [e, *(np.minimum(s + k, e) for k in self.prefixes)]
-        return np.stack([mix((total[x] - total[s]) * inv[s] + np.uint64(k)) for k, x in enumerate(ends)], axis=1), s, e - s
+            return whole, s, e - s
+        starts = [mix((total[np.minimum(s + k, e)] - total[s]) * inv[s] + np.uint64(j + 1)) for j, k in enumerate(self.prefixes)]
+        return np.stack([whole, *starts], axis=1), s, e - s
 
     def batches(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, last row, word hashes, words per row, byte starts, byte lengths) for row ranges.
@@ -96,8 +104,9 @@ class WordHasher:
                 parts, at = [], lo
                 while at < hi:
                     end = min(at + CHUNK, hi)
-                    while end < hi and self.word[data[end]] and end - at < 3 * CHUNK:
-                        end += 1
+                    while end < hi and self.word[data[end]]:  # never within a word, however long
+                        stop = np.flatnonzero(~self.word[data[end : end + CHUNK]])
+                        end += int(stop[0]) if len(stop) else min(CHUNK, hi - end)
                     h, s, w = self._piece(data[at:end], np.array([0, end - at]))
                     parts.append((h, s + (at - lo), w))
                     at = end
