@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ionflow.llm import common
 
 MIN_CHARS = 10
+_MADE = [T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
 _NO_ID = 2**63 - 1
@@ -128,7 +129,7 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHAR
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, counts, gone = [], [], []
-        for t, z in zip(b.column("text"), b.column("__keep")):
+        for t, z in zip(b.column("text"), b.column("keep")):
             lines = (t.as_py() or "").split("\n")
             n = len(lines)
             if z.is_valid:
@@ -137,18 +138,20 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("\n".join(lines))
             counts.append(n)
             gone.append(n - len(lines))
-        rest = [(c, b.column(c)) for c in b.schema.names if c not in ("text", "__keep")]
-        made = [("text", pa.array(texts, pa.string())), ("n_lines", pa.array(counts, pa.int64())), ("n_dropped", pa.array(gone, pa.int64()))]
-        yield pa.record_batch([v for _, v in rest + made], names=[k for k, _ in rest + made])
+        yield pa.record_batch([b.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["row", "text", "lines", "dropped"])
 
 
 def apply_bitmaps(spark: SparkSession, docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the kept lines as text, and n_lines and n_dropped."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "n_lines", "n_dropped")]
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in rest), _text().alias("text"), _ident().alias("__doc"), F.xxhash64(_text()).alias("__tag"))
-    rows = rows.join(bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("keep").alias("__keep")), ["__doc", "__tag"], "left").drop("__doc", "__tag")
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["text string", "n_lines long", "n_dropped long"])
-    return rows.select(*(F.col(f"`{f.name}`") for f in rest), "text", "__keep").mapInArrow(_apply, shape)
+    """docs with the kept lines as text, and n_lines and n_dropped (with _ before them where docs has such columns)."""
+    # other columns travel in one struct, where their names clash with nothing
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0))
+    rows = docs.select(row.alias("row"), _text().alias("text"), _ident().alias("doc"), F.xxhash64(_text()).alias("tag"))
+    rows = rows.join(bitmaps, ["doc", "tag"], "left").select("row", "text", "keep")
+    names = common.free_name(docs, "n_lines"), common.free_name(docs, "n_dropped")
+    out = rows.mapInArrow(_apply, T.StructType([rows.schema["row"], *_MADE]))
+    own = [F.col("row").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns]
+    return out.select(*own, F.col("lines").alias(names[0]), F.col("dropped").alias(names[1]))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

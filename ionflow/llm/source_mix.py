@@ -130,7 +130,7 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Whole documents, never excerpts. Rows that repeat a doc_id share one part.
     """
-    part = mix(spark, docs).where("doc_id is not null and size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    names = docs.columns
-    out = docs.join(part.where("__times > 0"), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*(F.col(f"`{c}`") for c in names))
+    part = mix(spark, docs).where("doc_id is not null and size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    out = docs.select("doc_id", row).join(part.where("times > 0"), "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("row.*")

@@ -58,7 +58,7 @@ def test_lines(spark, docs, none):
         kept = [x for x in t.split("\n") if len(line_key(x)) < 10 or low[line_key(x)] == (last if i is None else i)]
         want[i, "\n".join(kept), len(t.split("\n")), len(t.split("\n")) - len(kept)] += 1
     out = line_dedup.dedup_lines(spark, docs)
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == want
+    assert Counter((r.doc_id, r.text, r["_n_lines"], r.n_dropped) for r in out.collect()) == want
     assert set(docs.columns) <= set(out.columns)
     assert line_dedup.dedup_lines(spark, none).count() == 0
 
