@@ -34,13 +34,13 @@ from ionflow.llm import common
 # Tags by what they do to the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe svg math object head title textarea".split())
+RAW_TAGS = frozenset("script style noscript template iframe svg head title textarea".split())
 #: Of these, those whose content is text up to the literal end tag.
 RAW_TEXT = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in "script style noscript iframe title textarea template".split()}
 #: Start tags that do not end a head whose end tag is left out.
 HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-label|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -67,7 +67,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
     def flush():
         nonlocal links
         if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            joined = _SPACE.sub(" ", "".join(text)).strip()
             if joined:
                 names = []
                 for tag, words in stack:
@@ -97,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
                     at = _raw_end(page, at, tag)
                 continue
         if t[0] != "<" or len(t) == 1:
-            text.append(t)
+            text.append(html.unescape(t))  # references do not go on across tags
             if in_link:
                 links += len(t)
             continue

@@ -22,3 +22,14 @@ def test_article_is_found(page):
 
 def test_head_and_raw_text_are_no_blocks():
     assert html_crf.blocks("<head><title>T</title>\n<link href=x><template><p>no</p></template></head><script>no") == []
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p title=don't>one</p><p>it's two</p>", ["one", "it's two"]),
+    ("<p title='a > b' class=\"x>y\" id = z>one</p>", ["one"]),
+    ("<p>a &<b>lt; b</b> &amp;lt;</p>", ["a &lt; b &lt;"]),
+    ("<p>if <math><mi>x</mi></math> and <object>y</object> are</p>", ["if x and y are"]),
+    ("<p title=\"never closed>one</p>", ["one"]),
+])
+def test_tags_and_references(page, text):
+    assert [b[0] for b in html_crf.blocks(page)] == text
