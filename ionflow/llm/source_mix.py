@@ -4,7 +4,7 @@
 2. Targets: sources in code point order (null last) have weights 1, 2, 3,
    repeating; they share the total by weight, no target above max_repeat times
    its source, what is cut off being shared again by weight.
-3. The total is cut into blocks of equal words. Sources get blocks by highest
+3. The total is cut into blocks of equal words, small beside each target. Sources get blocks by highest
    quotients target / (2 k + 1): all quotients safely above the last seat count
    at once, only the few near it are ranked.
 4. A source's blocks go to its shards in the same way, giving an integer quota
@@ -30,6 +30,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 #: Words of a block; a source's part differs from its target by half of it or little more.
 BLOCK_WORDS = 32
+#: Blocks of the smallest target at the least: where it is small, blocks are smaller.
+BLOCKS_LEAST = 50
 #: Most shards of a source: the unit of the seeded order.
 SHARDS = 256
 #: Words of a shard at the least, so that its run of blocks is long beside a document.
@@ -100,7 +102,9 @@ def mix(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS, sh
     # neighbouring buckets of a source join into one shard
     n_shards = F.least(F.greatest(F.floor(F.col("source_size") / SHARD_WORDS), F.lit(1)), F.lit(shards))
     joined = F.floor(F.col("shard") * n_shards / shards).cast("int")
-    src = targets(cells.groupBy("source").agg(F.sum("words").alias("size")))
+    src = common.saved(targets(cells.groupBy("source").agg(F.sum("words").alias("size"))), f"{base}/targets")
+    least = src.where("target > 0").agg(F.min("target")).first()[0]
+    block_words = int(max(1, min(block_words, (least or 0) // BLOCKS_LEAST)))
     src = src.withColumn("one", F.lit(1)).withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long"))
     src = common.saved(sainte_lague(src, ["one"], "blocks", "target", "place").select("source", "source_size", "place", "target", F.col("quota").alias("source_quota")), f"{base}/sources")
     quota = cells.alias("c").join(src.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).groupBy("s.place", "source_quota", joined.alias("shard")).agg(F.sum("words").alias("words"))

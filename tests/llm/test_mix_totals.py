@@ -24,3 +24,9 @@ def test_shards_of_large_sources(spark, monkeypatch):
     rows = source_mix.mix(spark, docs).join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
     assert [r.n for r in rows] == [300] * 3
     assert all(abs(r.taken - r.target) <= 2 * source_mix.BLOCK_WORDS for r in rows)
+
+
+def test_small_targets_are_met(spark):
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('w ', cast(if(id < 6, 2, 40) as int)) as text", "concat('s', if(id < 6, id % 3, 3 + id % 3)) as source")
+    got = source_mix.mix(spark, docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 6 and all(abs(r.taken - r.target) <= max(1, 0.03 * r.target) for r in got)
