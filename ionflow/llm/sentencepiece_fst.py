@@ -89,7 +89,7 @@ class Transducer:
         else:
             self.segment = re.compile(" +[^ \n]*|\n|[^ \n]+")
         self.kept: dict[str, bytes] = {}
-        self.pair: dict[int, bool] = {}
+        self.pair: dict[int, float] = {}
         self.made: dict[int, list | None] = {}
         self.names = [p for p, _, _ in model["pieces"]]
 
@@ -141,57 +141,50 @@ class Transducer:
                 return False
 
     def _bpe_path(self, s: str) -> list[int]:
-        """The one path of finite weight, depth first, longest arcs first.
+        """Least path over the composition with s, arcs relaxed in (min, +) from left to right.
 
-        Each beginning of s has one such path, so that a position from which there
-        is no way on is never entered again.
+        A state is a position with the piece that ends there. Each beginning of s
+        has one path of finite weight, so that a position keeps one state; weights
+        are no less than 0, so that an arc to one no heavier is not composed.
         """
-        n, root, pair = len(s), self.trie, self.pair
-        arcs: list[list[tuple[int, int]] | None] = [None] * n
-        path: list[tuple[int, int, int]] = []  # (position, piece from there, piece before)
-        dead, i, last = set(), 0, -1
-        while i < n:
-            own = arcs[i]
-            if own is None:
-                own, node, j = [], root, i
-                while j < n:
-                    node = node.get(s[j])
-                    if node is None:
-                        break
-                    j += 1
-                    if 0 in node:
-                        own.append((j, node[0]))
-                if not own or own[0][0] > i + 1:
-                    own.append((i + 1, -1))  # the arcs of its bytes
-                arcs[i] = own
-            while own:
-                j, piece = own.pop()
-                if j in dead:
-                    continue
-                if piece >= 0:
-                    key = last * 65536 + piece
-                    ok = pair.get(key)
-                    if ok is None:
+        n, root, pair, width = len(s), self.trie, self.pair, len(self.names)
+        weight = [INFINITY] * (n + 1)
+        weight[0] = 0.0
+        into, start = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            here = weight[i]
+            if here == INFINITY:
+                continue
+            last, node, j = into[i], root, i
+            base = last * width
+            while j < n:
+                node = node.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                if 0 in node and here < weight[j]:
+                    piece = node[0]
+                    arc = pair.get(base + piece)
+                    if arc is None:
                         if len(pair) >= KEPT:
                             pair.clear()
-                        ok = pair[key] = self.bigram(last, piece) if last >= 0 else self._steps(piece) is not None
-                    if not ok:
-                        continue
-                path.append((i, piece, last))
-                i, last = j, piece
-                break
-            else:
-                dead.add(i)
-                if not path:
-                    raise ValueError(f"no path for {s!r}")
-                i, _, last = path.pop()
-        out = []
-        for i, piece, _ in path:
+                        ok = self.bigram(last, piece) if last >= 0 else self._steps(piece) is not None
+                        arc = pair[base + piece] = 0.0 if ok else INFINITY
+                    if here + arc < weight[j]:
+                        weight[j], into[j], start[j] = here + arc, piece, i
+            if 0 not in root.get(s[i], ()) and here < weight[i + 1]:  # the arcs of its bytes
+                weight[i + 1], into[i + 1], start[i + 1] = here, -1, i
+        if weight[n] == INFINITY:
+            raise ValueError(f"no path for {s!r}")
+        out, j = [], n
+        while j > 0:
+            i, piece = start[j], into[j]
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.bytes[b] for b in s[i].encode()]
-        return out
+                out += [self.bytes[b] for b in reversed(s[i:j].encode())]
+            j = i
+        return out[::-1]
 
     def _unigram_path(self, s: str) -> list[int]:
         """The path of least summed weight; ties go to the longer last piece."""
