@@ -5,7 +5,8 @@ expired, holds for each digest of a normalised text how many rows had it and
 the row to keep: its length, stable identifier (doc_id) and content locator
 (file and row in it). A row whose digest the state already has is a hit; hits
 are compared with the kept row's text byte by byte, and where texts of one
-digest differ, its rows are grouped by the text itself.
+digest differ, its rows are grouped by the text itself. Rows of a digest that
+very many share are dealt to several tasks, each with a copy of its state.
 
 Equal texts are those identical once space and \\t to \\r are deleted; null
 counts as empty. Of equal texts the row with most code points in the original
@@ -36,6 +37,10 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 _NO_ID = 2**63 - 1
+#: A digest is hot with more rows than this, and more than one in HOT_SHARE of all: at most HOT_SHARE digests.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+#: Tasks that the rows of a hot digest are dealt to.
+SALTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -89,6 +94,19 @@ def _maybe_repeated(spark: SparkSession, state: DataFrame, base: str):
     return common.saved(bits, f"{base}/repeated")
 
 
+def _hot(state: DataFrame, base: str) -> DataFrame:
+    """The hot digests, at most HOT_SHARE of them, to broadcast."""
+    rows = state.agg(F.sum("size")).first()[0] or 0
+    least = max(HOT_ROWS, rows // HOT_SHARE)
+    return common.saved(state.where(F.col("size") > least).select("digest", F.lit(True).alias("hot")), f"{base}/hot")
+
+
+def _salted(one_each: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of one digest each, repeated for every salt where the digest is hot."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return one_each.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(salts)).drop("hot")
+
+
 def exact_groups(spark: SparkSession, path: str, digest=sha256, checkpoint: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of the table at path."""
     base = common.workdir(spark, "exact")
@@ -104,19 +122,22 @@ def exact_groups(spark: SparkSession, path: str, digest=sha256, checkpoint: str
     # One pass: all rows by digest, and the bytes of those whose digest may be repeated.
     rows = docs.join(F.broadcast(_maybe_repeated(spark, state, base)), "word", "left")
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("ident"), "chars", "digest", F.sha2("norm", 256).alias("text_sha256"), F.when(repeated, F.col("norm")).alias("norm"))
+    hot = _hot(state, base)
+    salt = F.when(F.col("hot"), F.monotonically_increasing_id() % SALTS).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("hot")
     rows = common.saved(rows, f"{base}/rows")
 
     # Full bytes of hits against the kept row's.
-    some = rows.where("norm is not null").select("digest", "ident", "chars", "norm")
+    some = rows.where("norm is not null").select("digest", "salt", "ident", "chars", "norm")
     many = state.where("size > 1")
     first = some.join(many.select("digest", F.col("best.chars").alias("chars"), (-F.col("best.neg_id")).alias("ident")), ["digest", "chars", "ident"])
     # Rows that tie with the kept one may hold other texts only under a weak digest: one of them is the locator's.
     first = first.groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    hits = some.join(first, "digest").where(F.col("norm") != F.col("kept_norm"))
+    hits = some.join(_salted(first, hot), ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm"))
     odd = common.saved(hits.select("digest").distinct(), f"{base}/odd")
 
-    light = rows.select("doc_id", "ident", "chars", "digest", "text_sha256")
-    out = light.join(state, "digest").select("doc_id", "ident", "chars", "digest", "text_sha256", "size", F.col("best.chars").alias("keep_chars"), (-F.col("best.neg_id")).alias("keep"))
+    light = rows.select("doc_id", "ident", "chars", "digest", "salt", "text_sha256")
+    out = light.join(_salted(state, hot), ["digest", "salt"]).select("doc_id", "ident", "chars", "digest", "text_sha256", "size", F.col("best.chars").alias("keep_chars"), (-F.col("best.neg_id")).alias("keep"))
     if not odd.isEmpty():
         # One digest, several texts: the text itself is the key.
         differ = rows.join(odd, "digest", "left_semi")

@@ -42,6 +42,19 @@ def test_exact_reads_only_its_path(spark, tmp_path):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 1), (2, 2, 1)}
 
 
+def test_a_hot_digest_is_dealt_to_several_tasks(spark, tmp_path):
+    """Rows of one text, and of several texts under one digest, in numbers over HOT_ROWS."""
+    n = exact_dedup.HOT_ROWS + 200
+    rows = [(k, "a b" if k % 3 else " a  b ") for k in range(n)] + [(n + k, f"c{k % 2}") for k in range(5)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    want = {k: (0, n) for k in range(n)} | {n + k: (n + k % 2, 3 - k % 2) for k in range(5)}
+    for digest in (exact_dedup.sha256, lambda norm: F.unhex(F.substring(F.concat(F.lit("0"), F.hex(F.length(norm))), 1, 1))):
+        got = exact_dedup.exact_groups(spark, path, digest).collect()
+        assert len(got) == len(rows) and {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
 def test_pairs_that_share_several_leaves_count_once(spark, monkeypatch):
     monkeypatch.setattr(ef, "LEAF", 8)
     monkeypatch.setattr(ef, "BLOCK", 16)
