@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The CRF and the mix have no SQL form; tests hold the pipeline against its stages, and the stages' operators against brute force.
+#: The CRF and the mix have no SQL form; tests hold the pipeline against its own stages only.
 ORACLE_SQL = None
