@@ -45,7 +45,12 @@ SALT_ROWS = 512
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
 _PARTS = [f"t{k}" for k in range(FRAGMENTS)]
-_CHUNKS = 16
+#: A text is known by its document and its digest, since rows that repeat a doc_id can hold several.
+_PREFIX = ["tok", "salt", "doc", "d", "n", "pos"]
+_PREFIX_TYPES = "tok long, salt int, doc long, d long, n int, pos int"
+_PAIR = ["a", "da", "b", "db", "na", "nb"]
+#: Pieces of the count table that are summed apart, and tasks for each in the first step.
+_CHUNKS, _LANES = 16, 8
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,14 +84,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([z, z, z, z, pa.array(np.arange(_CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in part], pa.binary())], names=["doc_id", "n", "d1", "d2", "chunk", "counts"])
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(zlib.decompress(z), np.uint32).astype(np.uint64)
-            total[c] = total[c] + x if c in total else x
-    if total:
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
+def _sum_counts(partial: bool):
+    """Sums of counts by chunk: packed 64-bit numbers again where partial."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(z), np.uint32 if partial else np.uint64).astype(np.uint64)
+                total[c] = total[c] + x if c in total else x
+        if total:
+            packed = [zlib.compress(v.tobytes(), 1) if partial else v.tobytes() for v in total.values()]
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+    return run
 
 
 def _levels(table: np.ndarray) -> np.ndarray:
@@ -146,7 +157,7 @@ def _prefixes(table: np.ndarray, level: np.ndarray):
                 s = salts[(v >> shift).astype(np.int64)].astype(np.int64)
                 salt = (textvec.mix(doc.astype(np.int64).view(np.uint64)) % s.astype(np.uint64)).astype(np.int32)
                 salt[s == 1] = -1
-                yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(salt), pa.array(doc.astype(np.int64)), pa.array(n[r].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "salt", "doc", "n", "pos"])
+                yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(salt), pa.array(doc.astype(np.int64)), pa.array(dig[r].view(np.int64)), pa.array(n[r].astype(np.int32)), pa.array(pos.astype(np.int32))], names=_PREFIX)
 
     return run
 
@@ -160,7 +171,7 @@ def _may_link(na, nb, pa_, pb):
 def _pairs(second: bool):
     """Candidate pairs of lists sorted by (tok, salt, pos, hash of doc); rows of long and salted lists also go on."""
 
-    def emit(tok, salt, doc, n, pos):
+    def emit(tok, salt, doc, d, n, pos):
         m = len(tok)
         new = np.ones(m, bool)
         new[1:] = (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])
@@ -183,22 +194,25 @@ def _pairs(second: bool):
         x, y = x[ok], y[ok]
         swap = doc[x] > doc[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        by = np.lexsort((doc[y], doc[x]))
+        by = np.lexsort((d[y], d[x], doc[y], doc[x]))
         x, y = x[by], y[by]
         if len(x):
-            one = np.ones(len(x), bool)
-            one[1:] = (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1])
+            one = np.zeros(len(x), bool)
+            one[0] = True
+            for c in (doc[x], doc[y], d[x], d[y]):
+                one[1:] |= c[1:] != c[:-1]
             x, y = x[one], y[one]
         long = np.zeros(m, bool) if second else (mine > SHORT_LIST) | (salt >= 0)
         lead = np.zeros(m, bool) if second else new & (salt >= 0)
         out = []
-        for kind, a, b, na, nb, t in (
-            (0, doc[x], doc[y], n[x], n[y], np.zeros(len(x), np.int64)),
-            (1, doc[long], np.zeros(int(long.sum()), np.int64), n[long], pos[long], tok[long]),
-            (2, doc[lead], np.zeros(int(lead.sum()), np.int64), n[lead], pos[lead], tok[lead]),
+        none = np.zeros(m, np.int64)
+        for kind, a, da, b, db, na, nb, t in (
+            (0, doc[x], d[x], doc[y], d[y], n[x], n[y], np.zeros(len(x), np.int64)),
+            (1, doc[long], d[long], none[long], none[long], n[long], pos[long], tok[long]),
+            (2, doc[lead], d[lead], none[lead], none[lead], n[lead], pos[lead], tok[lead]),
         ):
             if len(a):
-                out.append(pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(t)], names=["kind", "a", "b", "na", "nb", "tok"]))
+                out.append(pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (a, da, b, db)), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(t)], names=["kind", *_PAIR, "tok"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +238,9 @@ def _fragments(level: np.ndarray, cuts: np.ndarray):
     """Each document's shingles by fragment of the global order: a column a fragment, sorted and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, now = set(), None  # rows come by document: those that repeat one's text go once
         for b in batches:
+            ids = b.column(0).to_numpy()
             for i, j, v, r in _sets(b.column(1)):
                 m = j - i
                 v, r, n = textvec.distinct_by_row(v, r, m)
@@ -238,7 +254,14 @@ def _fragments(level: np.ndarray, cuts: np.ndarray):
                     size = np.bincount(r[own], minlength=m)
                     ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
                     columns.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(v[own].tobytes())]))
-                yield pa.record_batch([b.column(0).slice(i, m), pa.array(n.astype(np.int32)), pa.array(dig.view(np.int64)), *columns], names=["doc", "n", "d", *_PARTS])
+                use = n > 0
+                for k, (doc, x) in enumerate(zip(ids[i:j].tolist(), dig.tolist())):
+                    if doc != now:
+                        now = doc
+                        seen.clear()
+                    use[k] &= x not in seen
+                    seen.add(x)
+                yield pa.record_batch([b.column(0).slice(i, m), pa.array(dig.view(np.int64)), *columns], names=["doc", "d", *_PARTS]).filter(pa.array(use))
 
     return run
 
@@ -254,7 +277,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 here[k] = int((both[1:] == both[:-1]).sum())
-        yield pa.record_batch([*(b.column(c) for c in ("a", "b", "na", "nb", "da", "db", "both", "ra", "rb")), pa.array(here), pa.array(xs), pa.array(ys)], names=["a", "b", "na", "nb", "da", "db", "both", "ra", "rb", "here", "xa", "xb"])
+        kept = [*_PAIR, "both", "ra", "rb"]
+        yield pa.record_batch([*(b.column(c) for c in kept), pa.array(here), pa.array(xs), pa.array(ys)], names=[*kept, "here", "xa", "xb"])
 
 
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple, base: str, tag: str) -> DataFrame:
@@ -265,17 +289,16 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # sort-merge joins at every size: plans, and so disk, grow in proportion
-    shape = "doc long, n int, d long, " + ", ".join(f"{c} binary" for c in _PARTS)
+    shape = "doc long, d long, " + ", ".join(f"{c} binary" for c in _PARTS)
     sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments(*cut), shape), f"{base}/sets{tag}")
     common.release(spark)
-    # rows that repeat a doc_id can hold different texts, told apart by size and digest
-    left = pairs.select("a", "b", "na", "nb", F.lit(None).cast("long").alias("da"), F.lit(None).cast("long").alias("db"), F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
+    left = pairs.select(*_PAIR, F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
     for k, part in enumerate(_PARTS):
         for c in ("b", "a"):
-            own = sets.select(F.col("doc").alias(c), F.col("n").alias("n_"), F.col("d").alias("d_"), F.col(part).alias(f"t{c}")).hint("merge")
-            left = left.join(own, c).where(f"n{c} = n_ and d_ = coalesce(d{c}, d_)").withColumn(f"d{c}", F.col("d_")).drop("n_", "d_")
-        left = left.mapInArrow(_overlaps, "a long, b long, na int, nb int, da long, db long, both int, ra int, rb int, here int, xa int, xb int")
-        left = left.select("a", "b", "na", "nb", "da", "db", F.expr("both + here").alias("both"), F.expr("ra - xa").alias("ra"), F.expr("rb - xb").alias("rb"))
+            own = sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), F.col(part).alias(f"t{c}")).hint("merge")
+            left = left.join(own, [c, f"d{c}"])
+        left = left.select(*_PAIR, "both", "ra", "rb", "ta", "tb").mapInArrow(_overlaps, "a long, da long, b long, db long, na int, nb int, both int, ra int, rb int, here int, xa int, xb int")
+        left = left.select(*_PAIR, F.expr("both + here").alias("both"), F.expr("ra - xa").alias("ra"), F.expr("rb - xb").alias("rb"))
         left = left.where(f"100 * (both + least(ra, rb)) >= {PERCENT} * (na + nb - both - least(ra, rb))")
         with common.arrow_rows(spark, 250):
             left = common.saved(left, f"{base}/partial{tag}{k}")
@@ -288,11 +311,19 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple
 
 
 def _of_classes(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """pairs between the first documents of each class of equal sets."""
-    for x, n in (("a", "na"), ("b", "nb")):
-        pairs = pairs.join(copies.select(F.col("doc_id").alias(x), F.col("n").cast("int").alias(n), "rep"), [x, n], "left").withColumn(x, F.coalesce("rep", x)).drop("rep")
-    swap = F.col("a") > F.col("b")
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+    """pairs between the first documents of each class of equal sets; the digest tells which of a document's texts it is."""
+    for x in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("doc_id").alias(x), F.col("d1").alias(f"d{x}"), "rep"), [x, f"d{x}"], "left").withColumn(x, F.coalesce("rep", x)).drop("rep")
+    return _ordered(pairs.where("a <> b"), "a", "b").distinct()
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """pairs with the smaller document first."""
+    swap = F.col(x) > F.col(y)
+    cols = ((x, f"d{x}", f"n{x}"), (y, f"d{y}", f"n{y}"))
+    first = [F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in zip(*cols)]
+    second = [F.when(swap, F.col(a)).otherwise(F.col(b)) for a, b in zip(*cols)]
+    return pairs.select(*(c.alias(n) for c, n in zip((first[0], first[1], second[0], second[1], first[2], second[2]), _PAIR)))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,40 +338,45 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
 def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     scan = common.saved(docs.mapInArrow(_scan, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"), f"{base}/scan")
     rows = scan.where("chunk is null").select("doc_id", "n", "d1", "d2")
-    counts = scan.where("chunk is not null").select("chunk", "counts").repartition(_CHUNKS, "chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
+    counts = scan.where("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % _LANES).alias("lane"))
+    # summed in two steps, so that no task reads what all tasks have counted
+    some = counts.repartition(_CHUNKS * _LANES, "chunk", "lane").select("chunk", "counts").mapInArrow(_sum_counts(True), "chunk int, counts binary")
+    counts = some.repartition(_CHUNKS, "chunk").mapInArrow(_sum_counts(False), "chunk int, counts binary")
     table = np.zeros(1 << BUCKETS_LOG2, np.uint64)
     for c, z in counts.collect():  # as many entries as the table has, whatever the input
         table[c * (len(table) // _CHUNKS) : (c + 1) * (len(table) // _CHUNKS)] = np.frombuffer(z, np.uint64)
 
     level = _levels(table)
     cut = (level, _cuts(table, level))
-    prefix = docs.mapInArrow(_prefixes(table, level), "tok long, salt int, doc long, n int, pos int")
-    shape = "kind int, a long, b long, na int, nb int, tok long"
-    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "pos", F.xxhash64("doc"), "doc").mapInArrow(_pairs(False), shape), f"{base}/found")
+    prefix = docs.mapInArrow(_prefixes(table, level), _PREFIX_TYPES)
+    shape = "kind int, a long, da long, b long, db long, na int, nb int, tok long"
+    found = common.saved(prefix.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "pos", F.xxhash64("doc"), "doc", "d").mapInArrow(_pairs(False), shape), f"{base}/found")
     common.release(spark)
-    leads = found.where("kind = 2").select("tok", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-    more = leads.repartition("tok").sortWithinPartitions("tok", "pos", F.xxhash64("doc"), "doc").mapInArrow(_pairs(True), shape)
+    leads = found.where("kind = 2").select("tok", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("da").alias("d"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+    more = leads.repartition("tok").sortWithinPartitions("tok", "pos", F.xxhash64("doc"), "doc", "d").mapInArrow(_pairs(True), shape)
+    # a table of its own, so that the copies of one text, however many, can be dealt to several tasks of the join
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
-    copies = common.saved(rows.where("n > 0").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct(), f"{base}/copies")
-    pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select("a", "b", "na", "nb").distinct(), copies), f"{base}/pairs")
+    low = common.saved(low, f"{base}/classes")
+    copies = rows.where("n > 0").hint("merge").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "d1", "rep")
+    copies = common.saved(common.saved(copies, f"{base}/members").distinct(), f"{base}/copies")
+    pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select(*_PAIR).distinct(), copies), f"{base}/pairs")
     links = _verified(spark, docs, pairs, cut, base, "1")
     copies_ = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = common.saved(common.components(spark, links.union(copies_), f"{base}/c1"), f"{base}/comp1")
 
     # Long lists: what still lies in different components is compared in full.
-    long = found.where("kind = 1").select("tok", F.col("a").alias("doc"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+    long = found.where("kind = 1").select("tok", F.col("a").alias("doc"), F.col("da").alias("d"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     long = long.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     by = long.groupBy("tok", "component").agg(F.count("*").alias("m"))
     mixed = by.groupBy("tok").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     long = common.saved(long.join(mixed, "tok"), f"{base}/long")
-    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-    y = long.select("tok", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), "main")
+    x = long.where("component <> main").select("tok", F.col("doc").alias("x"), F.col("d").alias("dx"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    y = long.select("tok", F.col("doc").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), "main")
     # holds at the first shingle that a pair that links has in common
     first = f"{100 + PERCENT} * least(nx - px, ny - py) >= {PERCENT} * (nx + ny)"
     rest = x.join(y, "tok").where(f"cx <> cy and (cy = main or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {first}")
-    rest = rest.select("x", "y", "nx", "ny").distinct()
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    rest = common.saved(_of_classes(rest, copies).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/rest")
+    rest = _ordered(rest.select("x", "dx", "y", "dy", "nx", "ny").distinct(), "x", "y")
+    rest = common.saved(_of_classes(rest, copies).join(pairs.select("a", "da", "b", "db"), ["a", "da", "b", "db"], "left_anti"), f"{base}/rest")
     if not rest.isEmpty():
         late = _verified(spark, docs, rest, cut, base, "2")
         if not late.isEmpty():
