@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FALLBACK_DIR: list[str] = []
@@ -50,6 +51,11 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ionflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def filesystem(base: str):
+    """The file system and path of a folder URL, as pyarrow has them."""
+    return pafs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else "file://" + base)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, prefixed until df has no such column, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionflow.llm import embedding_forest, exact_dedup, html_crf, license_diagonal, line_dedup, ngram_join, oracles, sentencepiece_fst, source_mix, toxicity_crf, warc_index
+from ionflow.llm import embedding_forest, exact_dedup, html_crf, license_diagonal, line_dedup, ngram_join, oracles, sentencepiece_fst, source_mix, threshold_search, token_files, toxicity_crf, warc_index
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, f"{sf_dir}/documents.parquet")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.search(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -66,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_token_index": op12_token_index,
     }
 
 
