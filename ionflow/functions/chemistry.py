@@ -31,7 +31,8 @@ def parse_formula(text: Column) -> Column:
 
     def count(element: str) -> Column:
         own = F.filter(pairs, lambda p: p["e"] == element)
-        return F.aggregate(own, F.lit(0), lambda acc, p: acc + F.when(p["n"] == "", F.lit(1)).otherwise(p["n"].try_cast("int")))
+        n = F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + F.when(p["n"] == "", F.lit(1)).otherwise(p["n"].try_cast("int")))
+        return n.try_cast("int")
 
     vector = F.array(*(count(e) for e in ELEMENTS))
     whole = (F.concat_ws("", tokens) == text) & (text != "") & known

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS
 from ionflow.functions import chemistry as C, hashing as H
-from ionflow.operators import spectra as S
+from ionflow.operators import quantiles, spectra as S
 from ionflow.sources import files
 from ionflow.sources.tables import materialize
 
@@ -21,12 +21,6 @@ PREPARED = (
 )
 
 
-def nearest_quantile(x: Column, q: float) -> Column:
-    """The value nearest to place q of the sorted values, nulls left out."""
-    v = F.array_sort(F.collect_list(x))
-    return F.try_element_at(v, (F.round((F.size(v) - 1) * F.lit(float(q))) + 1).cast("int"))
-
-
 def n_unique(x: str) -> Column:
     """Distinct values, null being one."""
     return F.count_distinct(x) + F.coalesce(F.max(F.col(x).isNull().cast("int")), F.lit(0))
@@ -42,8 +36,12 @@ def peak_stats(rows: DataFrame) -> DataFrame:
 
 
 def source_stats(rows: DataFrame) -> DataFrame:
-    err = F.abs("precursor_error_ppm")
-    return rows.groupBy("ingest_lib").agg(F.count("*").alias("spectra"), F.median(err).alias("provided_error_median_ppm"), nearest_quantile(err, 0.99).alias("provided_error_p99_ppm"))
+    """Spectra of each source, median and 99th percentile of the absolute errors given: exact, however large a source is."""
+    x = rows.select("ingest_lib", F.abs("precursor_error_ppm").alias("error"))
+    out = x.groupBy("ingest_lib").agg(F.count("*").alias("spectra"))
+    for q in (quantiles.linear(x, ["ingest_lib"], "error", {"provided_error_median_ppm": 0.5}), quantiles.nearest(x, ["ingest_lib"], "error", {"provided_error_p99_ppm": 0.99})):
+        out = out.join(q.withColumnRenamed("ingest_lib", "__lib"), F.col("ingest_lib").eqNullSafe(F.col("__lib")), "left").drop("__lib")
+    return out
 
 
 def parsed_labels(rows: DataFrame) -> DataFrame:

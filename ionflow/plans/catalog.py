@@ -139,7 +139,7 @@ def q_conflicts(spark, sf_dir):
     return Q.conflicts(derived.spectra(spark, sf_dir))
 
 
-_JUDGED = D + f""", bad AS (SELECT inchikey14 FROM spec WHERE inchikey14 IS NOT NULL GROUP BY inchikey14 HAVING count(DISTINCT molecular_formula) > 1),
+JUDGED = D + f""", bad AS (SELECT inchikey14 FROM spec WHERE inchikey14 IS NOT NULL GROUP BY inchikey14 HAVING count(DISTINCT molecular_formula) > 1),
 j AS (SELECT s.*, coalesce(s.ingest_lib, 'unknown') AS source, CASE
   WHEN coalesce(s.inchikey14, '') = '' THEN 'missing_structure_id'
   WHEN b.inchikey14 IS NOT NULL THEN 'conflicting_structure'
@@ -157,12 +157,12 @@ def _judged(spark, sf_dir):
     return Q.judged(derived.spectra(spark, sf_dir), EngineConfig())
 
 
-@query(_JUDGED + "SELECT coalesce(reason, 'accepted') AS reason, source, count(*) AS spectra FROM j GROUP BY GROUPING SETS ((coalesce(reason, 'accepted'), source), (coalesce(reason, 'accepted')))")
+@query(JUDGED + "SELECT coalesce(reason, 'accepted') AS reason, source, count(*) AS spectra FROM j GROUP BY GROUPING SETS ((coalesce(reason, 'accepted'), source), (coalesce(reason, 'accepted')))")
 def q_reject_cascade(spark, sf_dir):
     return Q.tallies(_judged(spark, sf_dir)).select("reason", "source", "spectra")
 
 
-@query(_JUDGED + "SELECT row_ord, split FROM acc")
+@query(JUDGED + "SELECT row_ord, split FROM acc")
 def q_accepted(spark, sf_dir):
     return _judged(spark, sf_dir).where("reason is null").select("row_ord", "split")
 
@@ -170,13 +170,13 @@ def q_accepted(spark, sf_dir):
 _COUNTS = {e: [v[ELEMENTS.index(e)] if v else 0 for v in derived._VECTORS] for e in ("C", "H", "O")}
 
 
-@query(_JUDGED + "SELECT " + ", ".join(f"ceil(max({derived._case('f', _COUNTS[e])}) FILTER (WHERE split = 'train') * 1.2::DOUBLE)::INTEGER AS {e.lower()}" for e in "CHO") + ", 0::INTEGER AS n FROM acc")
+@query(JUDGED + "SELECT " + ", ".join(f"ceil(max({derived._case('f', _COUNTS[e])}) FILTER (WHERE split = 'train') * 1.2::DOUBLE)::INTEGER AS {e.lower()}" for e in "CHO") + ", 0::INTEGER AS n FROM acc")
 def q_element_limits(spark, sf_dir):
     x = Q.element_limits(_judged(spark, sf_dir).where("reason is null"))
     return x.select(F.col("C").alias("c"), F.col("H").alias("h"), F.col("O").alias("o"), F.col("N").alias("n"))
 
 
-@query(_JUDGED + "SELECT split, count(DISTINCT f) AS unique_formulas, count(DISTINCT f) FILTER (WHERE f IN (1, 3)) AS within_element_limits FROM acc GROUP BY split")
+@query(JUDGED + "SELECT split, count(DISTINCT f) AS unique_formulas, count(DISTINCT f) FILTER (WHERE f IN (1, 3)) AS within_element_limits FROM acc GROUP BY split")
 def q_coverage(spark, sf_dir):
     limits = dict.fromkeys(ELEMENTS, 0) | {"C": 5, "H": 10, "O": 5}
     return Q.coverage(_judged(spark, sf_dir).where("reason is null"), limits)
