@@ -47,8 +47,10 @@ _NAMES = 20_000
 CELLS, LEVELS = 1.5, 40
 #: Texts, and characters of several texts, that are encoded at once.
 _TEXTS, _CHARS = 256, 1 << 21
-#: Chunks of text kept with their ids; beyond, or eight times as many ids, all are forgotten.
-_KNOWN = 200_000
+#: Chunks of text kept with their ids, some 130 MB a worker; beyond, or eight times as many ids, all are forgotten.
+_KNOWN = 600_000
+#: New chunks that go through the library as one text: it is slower with longer ones.
+_JOINED = 200
 #: Adjoining ranges are read together up to this many bytes.
 READ_BYTES = 4 << 20
 _NO_ID = 2**63 - 1
@@ -92,27 +94,30 @@ class Encoder:
             word = c[1:] if c[:1] == " " else c
             if word.split() == [word]:
                 plain.append(c)
-        if plain:
-            (ids,) = self._encoded(["\n".join(plain)])
+        groups = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
+        for own, ids in zip(groups, self._encoded(["\n".join(g) for g in groups])):
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
-            if len(ends) == len(plain):
-                for c, k in zip(plain, range(len(self.place), len(self.place) + len(plain))):
-                    self.place[c] = k
+            if len(ends) == len(own):
+                self.place.update(zip(own, range(len(self.place), len(self.place) + len(own))))
                 self.sizes.append(np.diff(ends, prepend=-1) - 1)
                 self.parts.append(ids[ids != self.line])
         rest = [c for c in chunks if c not in self.place]
         if rest:
             ids = self._encoded(rest)
-            for c, k in zip(rest, range(len(self.place), len(self.place) + len(rest))):
-                self.place[c] = k
+            self.place.update(zip(rest, range(len(self.place), len(self.place) + len(rest))))
             self.sizes.append(np.array([len(x) for x in ids]))
             self.parts.append(np.concatenate(ids))
 
     @staticmethod
     def _spaces(text: str, out: list[str]) -> None:
         """Adds text, cut at each single space between two characters that are not white, the space going to the second."""
+        parts = text.split(" ")
+        if text.split() == parts:  # no other white space, and none doubled
+            out.append(parts[0])
+            out += [" " + part for part in parts[1:]]
+            return
         joined, first = "", True
-        for part in text.split(" "):
+        for part in parts:
             if first:
                 joined, first = part, False
             elif joined and part and not joined[-1].isspace() and not part[0].isspace():
