@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ionflow.config import EngineConfig
 from ionflow.functions import chemistry as C
-from ionflow.operators import features as feat, ranking
+from ionflow.operators import cache, features as feat, ranking, ranks
 from ionflow.sources import files, tables
 
 CUTS = (1, 5, 10, 25)
@@ -29,6 +29,50 @@ def metrics(rows: DataFrame, by: list[str] = [], rank: str = "rank") -> DataFram
     return rows.groupBy(*by).agg(*metric_columns(rank)) if by else rows.agg(*metric_columns(rank))
 
 
+def metric_sums(rows: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
+    """What metrics are made of, as sums by group that can be added up: they merge over batches, shards and reruns."""
+    r = F.col(rank)
+    sums = [F.count("*").alias("molecules"), F.count(r).alias("found"), *(F.count_if(r <= k).alias(f"in{k}") for k in CUTS)]
+    return rows.groupBy(*by).agg(*sums, F.coalesce(F.sum(F.when(r <= 25, 1.0 / r)), F.lit(0.0)).alias("rr25"), F.coalesce(F.sum(1.0 / r), F.lit(0.0)).alias("rr"))
+
+
+_SUMS = ("molecules", "found", *(f"in{k}" for k in CUTS), "rr25", "rr")
+
+
+def merged_sums(sums: DataFrame, by: list[str] = []) -> DataFrame:
+    return sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+def cumulative_sums(sums: DataFrame, order: str) -> DataFrame:
+    """Sums of each batch and all before it (a row a batch)."""
+    upto = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return sums.select(order, *(F.sum(c).over(upto).alias(c) for c in _SUMS))
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """Metrics of sums, with full MRR; no molecules give 0."""
+    n = F.greatest("molecules", F.lit(1))
+    others = [c for c in sums.columns if c not in _SUMS]
+    shares = {"candidate_recall": "found", **{f"top{k}": f"in{k}" for k in CUTS}, "mrr25": "rr25", "mrr": "rr"}
+    return sums.select(*others, "molecules", *((F.col(c) / n).alias(name) for name, c in shares.items()))
+
+
+def stability(records: DataFrame, key: str, batches: int, size: int, seed: int, used: DataFrame | None = None) -> DataFrame:
+    """Metrics of disjoint batches of records drawn by seed, and of all batches up to each: batch, part, metrics.
+
+    Records whose keys are used already, in a sample that settings were chosen by
+    say, are left out. Too few records for the batches are an error.
+    """
+    population = records.select(key)
+    drawn = ranks.fresh_sample(population, population.limit(0) if used is None else used, key, batches * size, seed)
+    drawn = tables.materialize(drawn.withColumn("batch", (F.floor(F.col("place") / size) + 1).cast("int")).drop("place"), "stability")
+    if (n := drawn.count()) < batches * size:
+        raise ValueError(f"{n} unused records are too few for {batches} batches of {size}")
+    sums = tables.materialize(metric_sums(records.join(drawn, key), ["batch"]), "stability")
+    own = metrics_of(sums).withColumn("part", F.lit("batch"))
+    return own.unionByName(metrics_of(cumulative_sums(sums, "batch")).withColumn("part", F.lit("cumulative")))
+
+
 def mass_bin(mass: Column) -> Column:
     return F.when(mass < 300, "<300").when(mass < 600, "300-600").otherwise(">=600")
 
@@ -114,19 +158,25 @@ def evaluate(engine, prepared: str, split: str = "test", max_molecules: int | No
     }
 
 
-def feature_cache(engine, rows: DataFrame, folder: str, training: bool) -> DataFrame:
-    """Ranked candidates with features of a split, written once under a name that depends on all settings."""
-    done = os.path.join(folder, "_SUCCESS")
-    if not os.path.exists(done):
-        x, _, _ = engine.candidate_features(rows)
-        ranked = ranking.baseline(x)
-        truth = groups_of(rows)
+def feature_cache(engine, rows: DataFrame, root: str, training: bool, identity: dict, told=None) -> DataFrame:
+    """Ranked candidates with features of a split, computed bucket by bucket and kept under root.
+
+    identity: what the rows are of (data, split, limit); settings and feature names
+    are added. A run that was stopped goes on with the buckets that are not done.
+    """
+
+    def compute(part: DataFrame) -> DataFrame:
+        x, _, _ = engine.candidate_features(part)
+        ranked, truth = ranking.baseline(x), groups_of(part)
         if training:
             out = ranking.training_rows(ranked, truth, engine.config.seed)
         else:
             out = ranked.join(truth.select("molecule_id", F.col("formula").alias("truth")), "molecule_id").withColumn("label", (F.col("formula") == F.col("truth")).cast("int")).drop("truth")
-        out.select("molecule_id", "formula", "label", *(F.col(c).cast("float").alias(c) for c in feat.FEATURES)).write.mode("overwrite").parquet(folder)
-    return engine.spark.read.parquet(folder)
+        out = out.select("molecule_id", "formula", "label", *(F.col(c).cast("float").alias(c) for c in feat.FEATURES))
+        return out.join(part.select("molecule_id", "bucket").distinct(), "molecule_id")
+
+    own = {"config": engine.config.to_dict(), "features": list(feat.FEATURES), "training": training}
+    return cache.UnitCache(engine.spark, root, identity | own).fill(rows, compute, told=told).drop("bucket")
 
 
 def _matrix(cache: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,21 +184,27 @@ def _matrix(cache: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pdf[feat.FEATURES].to_numpy(np.float32), pdf["label"].to_numpy(), pdf.groupby("molecule_id", sort=True).size().to_numpy()
 
 
-def train(spark: SparkSession, prepared: str, output: str, train_molecules: int = 3000, validation_molecules: int = 500, rounds: int = 1000) -> dict:
-    """Fit a ranker on so many molecules of the prepared train split; candidates of each are at most 256 rows."""
+def train(spark: SparkSession, prepared: str, output: str, train_molecules: int = 3000, validation_molecules: int = 500, rounds: int = 1000, cache_root: str | None = None) -> dict:
+    """Fit a ranker on so many molecules of the prepared train split; candidates of each are at most 256 rows.
+
+    Features are kept beside output (or under cache_root): a run that was stopped
+    before the model was written goes on where it was, and so does one with other
+    rounds; other data, settings, splits or numbers of molecules start anew.
+    """
     from ionflow.engine import FormulaEngine
 
     files.require_new_dir(output)
     config = EngineConfig.load(f"{prepared}/config.json")
     engine = FormulaEngine(spark, config)
+    data = files.read_json(f"{prepared}/manifest.json")["file_fingerprint"]
     sets, formulas, counts = [], [], []
     for split, n in (("train", train_molecules), ("validation", validation_molecules)):
         rows = files.read_split(spark, prepared, split, n)
-        cache = feature_cache(engine, rows, f"{output}/cache/{split}-{n}-{config.version}", split == "train")
-        sets.append(_matrix(cache))
+        done = feature_cache(engine, rows, cache_root or f"{output.rstrip('/')}-cache", split == "train", {"data": data, "split": split, "molecules": n})
+        sets.append(_matrix(done))
         counts.append(rows.select("molecule_id").distinct().count())
         if split == "train":
-            formulas = sorted(r[0] for r in cache.where("label = 1").select("formula").distinct().collect())
+            formulas = sorted(r[0] for r in done.where("label = 1").select("formula").distinct().collect())
     x, y, sizes = sets[0]
     model = ranking.fit(x, y, sizes, valid=sets[1] if len(sets[1][0]) else None, rounds=rounds, valid_groups=counts[1])
     base = metrics(_baseline_ranks(engine, prepared, validation_molecules)).first()["mrr25"]

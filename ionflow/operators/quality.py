@@ -21,6 +21,12 @@ PREPARED = (
 )
 
 
+def nearest_quantile(x: Column, q: float) -> Column:
+    """The value nearest to place q of the sorted values, nulls left out: of groups whose values fit in a row (else quantiles.nearest)."""
+    v = F.array_sort(F.collect_list(x))
+    return F.try_element_at(v, (F.round((F.size(v) - 1) * F.lit(float(q))) + 1).cast("int"))
+
+
 def n_unique(x: str) -> Column:
     """Distinct values, null being one."""
     return F.count_distinct(x) + F.coalesce(F.max(F.col(x).isNull().cast("int")), F.lit(0))

@@ -44,7 +44,7 @@ def _chosen(counts: DataFrame, group: list[str]) -> DataFrame:
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(by, n, a column for each place): the value at that place, from 0, of the group's sorted values.
+    """(by, __n: how many values, a column for each place): the value at that place, from 0, of the group's sorted values.
 
     places: from the number of values to a place. rows are read once a pass, some
     four times at most.
@@ -53,14 +53,14 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[st
     x = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).cast("double").alias("v")).where("v is not null")
     hist = materialize(x.groupBy(*keys, _first(F.col("v")).alias("bucket")).agg(F.count("*").alias("count"), F.min("v").alias("low"), F.max("v").alias("high")), "quantiles")
     n = F.sum("count").over(W.partitionBy(*keys))
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("k")) for name, place in places.items()))
-    counts = hist.withColumn("n", n).withColumn("w", F.explode(wanted)).select(*keys, "n", "w.name", "w.k", "bucket", "count", "low", "high")
-    group = [*keys, "n", "name"]
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("__n")).cast("long").alias("k")) for name, place in places.items()))
+    counts = hist.withColumn("__n", n).withColumn("w", F.explode(wanted)).select(*keys, "__n", "w.name", "w.k", "bucket", "count", "low", "high")
+    group = [*keys, "__n", "name"]
     state = materialize(_chosen(counts, group), "quantiles")
     done = []
     while not state.where("low < high").isEmpty():
         done.append(state.where("not low < high"))
-        open_ = state.where("low < high").select(*(F.col(k).alias(f"{k}_") for k in keys), "n", "name", "k", F.col("low").alias("from"), F.col("high").alias("to"))
+        open_ = state.where("low < high").select(*(F.col(k).alias(f"{k}_") for k in keys), "__n", "name", "k", F.col("low").alias("from"), F.col("high").alias("to"))
         inside = (F.col("v") >= F.col("from")) & (F.col("v") <= F.col("to"))
         for k in keys:
             inside = inside & F.col(k).eqNullSafe(F.col(f"{k}_"))
@@ -69,14 +69,14 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[st
         state = materialize(_chosen(counts, group), "quantiles")
     for part in done:
         state = state.unionByName(part)
-    out = state.groupBy(*keys, "n").pivot("name", list(places)).agg(F.first("low"))
-    return out.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), "n", *places)
+    out = state.groupBy(*keys, "__n").pivot("name", list(places)).agg(F.first("low"))
+    return out.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), "__n", *places)
 
 
 def nearest(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by, a column for each share): the value nearest to that share of the way through the sorted values."""
     out = order_statistics(rows, by, value, {name: lambda n, q=q: F.round((n - 1) * F.lit(float(q))) for name, q in shares.items()})
-    return out.drop("n")
+    return out.drop("__n")
 
 
 def linear(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -88,7 +88,7 @@ def linear(rows: DataFrame, by: list[str], value: str, shares: dict[str, float])
     out = order_statistics(rows, by, value, places)
     cols = []
     for i, (name, q) in enumerate(shares.items()):
-        at = (F.col("n") - 1) * F.lit(float(q))
+        at = (F.col("__n") - 1) * F.lit(float(q))
         low, high = F.col(f"__l{i}"), F.col(f"__h{i}")
         cols.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
     return out.select(*by, *cols)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +11,9 @@ from ionflow.config import EngineConfig
 from ionflow.constants import ADDUCTS, ELEMENTS, MASS
 from ionflow.engine import FormulaEngine
 from ionflow.functions import chemistry as C, hashing as H
-from ionflow.operators import candidates as cand, evaluate as ev, features as feat, quality as Q, ranking, spectra as S, stats
+from ionflow.operators import candidates as cand, evaluate as ev, features as feat, quality as Q, quantiles, ranking, ranks, spectra as S, stats
 from ionflow.plans import derived
+from ionflow.sources import files, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -441,8 +443,6 @@ def q_semi_ids(spark, sf_dir):
 
 @query(D + "SELECT DISTINCT molecule_id FROM spec WHERE molecule_id NOT IN (SELECT molecule_id FROM spec WHERE row_ord % 20 = 0)")
 def q_resume(spark, sf_dir):
-    from ionflow.sources import files
-
     x = derived.spectra(spark, sf_dir)
     return files.resume(x.select("molecule_id"), x.where("row_ord % 20 = 0")).distinct()
 
@@ -509,6 +509,68 @@ def q_prefixed_keys(spark, sf_dir):
     return x.groupBy("key", F.split_part("key", F.lit("::"), F.lit(2)).alias("structure")).agg(F.count("*").alias("n"))
 
 
+# Resampling, order and quantiles
+_HASH = f"('0x' || substr(sha256({{}}), 1, 15))::BIGINT % {stats.PRIME}"
+_WEIGHT = "CASE " + " ".join(f"WHEN z < {t} THEN {k}" for k, t in enumerate(stats.POISSON)) + f" ELSE {len(stats.POISSON)} END"
+
+
+@query(_RANKED + f""", v AS (SELECT source, {_HASH.format("g::VARCHAR")} AS h, coalesce(1.0::DOUBLE / rank, 0) AS value FROM x WHERE source IS NOT NULL),
+reps AS (SELECT rep, {", ".join(f"{_HASH.format(f"rep || ':{j}'")} AS c{j}" for j in range(4))} FROM generate_series(1, 3000) t(rep)),
+z AS (SELECT source, value, rep, (((((c3 * h + c2) % {stats.PRIME}) * h + c1) % {stats.PRIME}) * h + c0) % {stats.PRIME} AS z FROM v, reps),
+w AS (SELECT source, rep, value, {_WEIGHT} AS w FROM z),
+m AS (SELECT source, rep, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
+p AS (SELECT source, count(DISTINCT g)::DOUBLE / sum(count(DISTINCT g)) OVER () AS prior FROM x GROUP BY source)
+SELECT rep::INTEGER AS rep, round(sum(m * prior), 6) AS mean FROM m JOIN p USING (source) GROUP BY rep""")
+def q_poisson_bootstrap(spark, sf_dir):
+    x = _truth(spark, sf_dir).withColumn("value", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)))
+    return _rounded(stats.poisson_bootstrap(x, ev.priors(x), "value"), ["mean"])
+
+
+_SUMS = "count(*) AS molecules, count(rank) AS found, " + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS in{k}" for k in ev.CUTS) + ", coalesce(sum(1.0::DOUBLE / rank) FILTER (WHERE rank <= 25), 0) AS rr25, coalesce(sum(1.0::DOUBLE / rank), 0) AS rr"
+_OF_SUMS = "molecules::BIGINT AS molecules, round(found / molecules, 6) AS candidate_recall, " + ", ".join(f"round(in{k} / molecules, 6) AS top{k}" for k in ev.CUTS) + ", round(rr25 / molecules, 6) AS mrr25, round(rr / molecules, 6) AS mrr"
+
+
+@query(_RANKED + f""", d AS (SELECT g, row_number() OVER (ORDER BY sha256('42:' || g), g) - 1 AS place, (SELECT count(*) // 6 FROM x) AS size FROM x WHERE g % 7 <> 0),
+s AS (SELECT place // size + 1 AS batch, {_SUMS} FROM d JOIN x USING (g) WHERE place < 5 * size GROUP BY 1),
+c AS (SELECT batch, {", ".join(f"sum({n}) OVER (ORDER BY batch) AS {n}" for n in ev._SUMS)} FROM s)
+SELECT 'batch' AS part, batch::INTEGER AS batch, {_OF_SUMS} FROM s UNION ALL SELECT 'cumulative', batch::INTEGER, {_OF_SUMS} FROM c""")
+def q_stability(spark, sf_dir):
+    """Batches of a sixth of all molecules, those of a first sample left out."""
+    x = _truth(spark, sf_dir)
+    out = ev.stability(x, "molecule_id", 5, x.count() // 6, 42, used=x.where("molecule_id % 7 = 0"))
+    return _rounded(out, [*_MN, "mrr"]).withColumn("molecules", F.col("molecules").cast("long"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY sha256('7:' || o_orderkey), o_orderkey) - 1 AS place, ((row_number() OVER (ORDER BY sha256('7:' || o_orderkey), o_orderkey) - 1) // 300 + 1)::INTEGER AS batch FROM orders")
+def q_places(spark, sf_dir):
+    x = ranks.numbered(_table(spark, sf_dir, "orders").select("o_orderkey"), *ranks.seeded("o_orderkey", 7))
+    return x.select("o_orderkey", "place", (F.floor(F.col("place") / 300) + 1).cast("int").alias("batch"))
+
+
+@query("SELECT shard, count(*) AS keys, min(k) AS first, max(k) AS last FROM (SELECT k, ((row_number() OVER (ORDER BY k) - 1) // 100)::INTEGER AS shard FROM (SELECT DISTINCT o_custkey AS k FROM orders)) GROUP BY shard")
+def q_shards(spark, sf_dir):
+    """Written in shards of 100 keys, checked for completeness, merged in order, and read back with the shard that each key was in."""
+    x = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    base = f"{tables.shared_folder(spark)}/ionflow/shards-{uuid.uuid4().hex[:12]}"
+    files.write_shards(x, f"{base}/shards", "k", 100)
+    files.merge_shards(spark, f"{base}/shards", f"{base}/merged", "k", x, 100)
+    own = spark.read.parquet(f"{base}/shards").select("k", "shard").distinct()
+    merged = spark.read.parquet(f"{base}/merged").select("k").distinct()
+    return merged.join(own, "k").groupBy("shard").agg(F.count("*").alias("keys"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
+_SHARES = {"q01": 0.01, "q50": 0.5, "q99": 0.99}
+
+
+@query("WITH v AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedprice - 30000 AS v FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY flag, status ORDER BY v) AS i, count(*) OVER (PARTITION BY flag, status) AS n FROM v) SELECT flag, status, "
+    + ", ".join(f"round(max(v) FILTER (WHERE i = round((n - 1) * {q}::DOUBLE) + 1), 4) AS {k}" for k, q in _SHARES.items()) + ", " + ", ".join(f"round(quantile_cont(v, {q}), 4) AS {k}_linear" for k, q in _SHARES.items()) + " FROM o GROUP BY flag, status")
+def q_exact_quantiles(spark, sf_dir):
+    by = ["flag", "status"]
+    x = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_extendedprice") - 30000).alias("v"))
+    out = quantiles.nearest(x, by, "v", _SHARES).join(quantiles.linear(x, by, "v", {f"{k}_linear": q for k, q in _SHARES.items()}), by)
+    return out.select(*by, *(_r(c, 4).alias(c) for c in out.columns if c not in by))
+
+
 # Whole engine: rows only, or held against counts
 def _predicted(spark, sf_dir):
     rows = derived.spectra(spark, sf_dir).select("molecule_id", "spectrum_id", *S.INFERENCE_COLUMNS, "row_ord")
@@ -540,12 +602,6 @@ def q_baseline_rank(spark, sf_dir):
     return ranking.baseline(feat.extract(c, x, config)).select("molecule_id", "formula", "rank", "score")
 
 
-@query()
-def q_poisson_bootstrap(spark, sf_dir):
-    x = _truth(spark, sf_dir).withColumn("value", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)))
-    return stats.poisson_bootstrap(x, ev.priors(x), "value")
-
-
 @query()
 def q_training_rows(spark, sf_dir):
     c = _whole(spark, sf_dir)[0]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ionflow.functions import hashing as H
-from ionflow.sources.tables import materialize
+from ionflow.operators import ranks
+from ionflow.sources import tables
 
 SPECTRUM = (
     "molecule_id string, spectrum_id string, precursor_mz double, adduct string, ionization_mode string, ms2_mzs array<double>, "
@@ -27,12 +29,63 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows
 
 
+#: Files up to this size are hashed by Spark's reader; larger ones are streamed.
+_WHOLE = 256 << 20
+#: Leaves of the tree that digests of files are combined by.
+_LEAVES = 3
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        digests = []
+        for path in b.column(0).to_pylist():
+            where, name = pafs.FileSystem.from_uri(path)
+            h = hashlib.sha256()
+            with where.open_input_stream(name, compression=None) as f:
+                while piece := f.read(8 << 20):
+                    h.update(piece)
+            digests.append(h.hexdigest())
+        yield pa.record_batch([b.column(0), pa.array(digests, pa.string())], names=["path", "digest"])
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, digest): SHA-256 of each Parquet file at path, or of the one file there; made on the executors."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if _is_folder(spark, path):
+        found = found.where(F.col("path").endswith(".parquet"))
+    small = found.where(F.col("length") <= _WHOLE).select("path", F.sha2("content", 256).alias("digest"))
+    large = found.where(F.col("length") > _WHOLE).select("path")
+    if large.isEmpty():
+        return small
+    tables.ship(spark)
+    return small.unionByName(large.repartition("path").mapInArrow(_streamed, "path string, digest string"))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def mark(path: str) -> str:
-    """16 hex digits of the content: of the file, or of its files in the order of their names."""
-    if os.path.isfile(path):
-        return H.fingerprint(path)[:16]
-    parts = sorted(os.path.join(folder, n) for folder, _, names in os.walk(path) for n in names if n.endswith(".parquet"))
-    return hashlib.sha256("".join(H.fingerprint(p) for p in parts).encode()).hexdigest()[:16]
+    """16 hex digits of the content: of the file, or of its Parquet files and their names within the folder.
+
+    Digests of files are combined as a tree, so that no list holds them all; the
+    order in which files are listed, and where the folder lies, have no part in it.
+    """
+    spark = SparkSession.active()
+    every = fingerprints(spark, path)
+    if not _is_folder(spark, path):
+        return every.first().digest[:16]
+    name = F.substring(F.col("path"), F.lit(len(_qualified(spark, path)) + 1), F.length("path"))
+    leaf = every.select(F.substring(F.sha2(name, 256), 1, _LEAVES).alias("leaf"), F.concat(name, F.lit(":"), "digest").alias("line"))
+    leaves = leaf.groupBy("leaf").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    root = leaves.agg(F.array_join(F.array_sort(F.collect_list(F.concat("leaf", F.lit(":"), "digest"))), "\n").alias("lines")).first().lines
+    return hashlib.sha256(root.encode()).hexdigest()[:16]
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -148,10 +201,35 @@ def resume(rows: DataFrame, done: DataFrame, key: str = "molecule_id") -> DataFr
 
 def write_shards(rows: DataFrame, path: str, key: str, size: int) -> None:
     """Consecutive keys in shards of size: a partition a shard."""
-    # keys are numbered within range partitions, and after the counts of the partitions before: no task sees all keys
-    ids = materialize(rows.select(key).distinct().repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "shard-keys")
-    counts = ids.groupBy("__part").count()
-    before = counts.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
-    place = F.row_number().over(W.partitionBy("__part").orderBy(key)) + F.col("__before") - 1
-    n = ids.join(before, "__part").select(key, F.floor(place / size).cast("int").alias("shard"))
+    places = ranks.numbered(rows.select(key).distinct(), key)
+    n = places.select(key, F.floor(F.col("place") / size).cast("int").alias("shard"))
     rows.join(n, key).repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def shard_faults(shards: DataFrame, expected: DataFrame, key: str, size: int | None = None) -> dict[str, int]:
+    """How many keys are missing, unknown, or in several shards, and shards out of order or of another size; all 0 is well."""
+    keys = shards.select(key, "shard").distinct()
+    wanted = expected.select(key).distinct()
+    by = keys.groupBy("shard").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    # a row a shard
+    last = W.orderBy("shard")
+    order = by.withColumn("before", F.lag("high").over(last)).withColumn("next", F.lead("shard").over(last))
+    wrong = F.lit(False) if size is None else F.when(F.col("next").isNull(), F.col("n") > size).otherwise(F.col("n") != size)
+    odd = order.agg(F.count_if(F.col("before") >= F.col("low")).alias("order"), F.count_if(wrong).alias("size")).first()
+    return {
+        "missing": wanted.join(keys, key, "left_anti").count(),
+        "unknown": keys.select(key).distinct().join(wanted, key, "left_anti").count(),
+        "in_several": keys.groupBy(key).count().where("count > 1").count(),
+        "out_of_order": odd["order"],
+        "other_size": odd["size"],
+    }
+
+
+def merge_shards(spark: SparkSession, path: str, output: str, key: str, expected: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows of all shards as one table in the order of keys, once they are whole; else an error says what is wrong."""
+    shards = spark.read.parquet(path)
+    if any((faults := shard_faults(shards, expected, key, size)).values()):
+        raise ValueError(f"shards at {path}: {', '.join(f'{n} {k}' for k, n in faults.items() if n)}")
+    merged = shards.drop("shard").repartitionByRange(key).sortWithinPartitions(key)
+    merged.write.mode("overwrite").parquet(output)
+    return spark.read.schema(merged.schema).parquet(output)
