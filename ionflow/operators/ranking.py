@@ -70,10 +70,12 @@ def training_rows(ranked: DataFrame, truth: DataFrame, seed: int, hard: int = 12
 
 
 class Tree:
-    """A regression tree over binned features, as flat arrays."""
+    """A regression tree over binned features, as flat arrays; gain of each split and rows of each node as it was grown."""
 
-    def __init__(self, feature, threshold, left, right, value):
+    def __init__(self, feature, threshold, left, right, value, gain=None, cover=None):
+        none = np.zeros(len(feature))
         self.feature, self.threshold, self.left, self.right, self.value = (np.asarray(a) for a in (feature, threshold, left, right, value))
+        self.gain, self.cover = (none if a is None else np.asarray(a, float) for a in (gain, cover))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
@@ -87,14 +89,14 @@ class Tree:
             node[rows] = np.where(go, self.left[n], self.right[n])
 
     def to_dict(self) -> dict:
-        return {k: getattr(self, k).tolist() for k in ("feature", "threshold", "left", "right", "value")}
+        return {k: getattr(self, k).tolist() for k in ("feature", "threshold", "left", "right", "value", "gain", "cover")}
 
 
 def _grow(bins, edges, grad, hess, leaves, least, l2):
     """Best-first growth from gradient histograms; bins: n x f of uint8."""
     n, f = bins.shape
     width = 64
-    feature, threshold, left, right, value = [-1], [0.0], [-1], [-1], [0.0]
+    feature, threshold, left, right, value, gains, cover = [-1], [0.0], [-1], [-1], [0.0], [0.0], [float(n)]
 
     def histogram(rows):
         flat = (bins[rows].astype(np.int64) + np.arange(f) * width).ravel()
@@ -120,16 +122,17 @@ def _grow(bins, edges, grad, hess, leaves, least, l2):
             break
         rows = rows_of.pop(node)
         go = bins[rows, j] <= b
+        gains[node] = float(gain)
         feature[node], threshold[node] = j, float(edges[j][b]) if b < len(edges[j]) else np.inf
         for side, part in ((left, rows[go]), (right, rows[~go])):
             side[node] = len(feature)
             rows_of[len(feature)] = part
             open_[len(feature)] = split(part)
-            for a, z in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, 0.0)):
+            for a, z in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, 0.0), (gains, 0.0), (cover, float(len(part)))):
                 a.append(z)
     for node, rows in rows_of.items():
         value[node] = -grad[rows].sum() / (hess[rows].sum() + l2)
-    return Tree(feature, threshold, left, right, value), rows_of
+    return Tree(feature, threshold, left, right, value, gains, cover), rows_of
 
 
 class Ranker:
@@ -213,20 +216,59 @@ def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05
     return Ranker(trees, rate, {"validation_mrr25": best, "trees": len(trees)})
 
 
-def importance(model: Ranker) -> list[tuple[str, int]]:
-    """Features by how many splits use them."""
-    n = np.bincount(np.concatenate([t.feature[t.feature >= 0] for t in model.trees] or [np.zeros(0, int)]), minlength=len(FEATURES))
-    return sorted(zip(FEATURES, n.tolist()), key=lambda p: (-p[1], p[0]))
+def importance(model: Ranker, by: str = "gain") -> list[tuple[str, float]]:
+    """Features by the gain of all splits that use them, or by how many these are (by: splits)."""
+    total = np.zeros(len(FEATURES))
+    for t in model.trees:
+        inner = t.feature >= 0
+        np.add.at(total, t.feature[inner], t.gain[inner] if by == "gain" else 1.0)
+    return sorted(zip(FEATURES, total.tolist()), key=lambda p: (-p[1], p[0]))
+
+
+class Packed:
+    """All trees of a model in one set of flat arrays, walked for all rows and trees at once."""
+
+    def __init__(self, model: Ranker):
+        sizes = np.array([len(t.feature) for t in model.trees], np.int64)
+        self.roots = np.cumsum(sizes) - sizes
+        shift = np.repeat(self.roots, sizes)
+
+        def flat(name: str, kind) -> np.ndarray:
+            return np.concatenate([getattr(t, name) for t in model.trees] or [np.zeros(0)]).astype(kind)
+
+        self.feature, self.threshold, self.value = flat("feature", np.int32), flat("threshold", np.float64), flat("value", np.float64)
+        self.left, self.right = flat("left", np.int64) + shift, flat("right", np.int64) + shift
+        self.rate = model.rate
+
+    def predict(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+        out = np.zeros(len(x))
+        for lo in range(0, len(x) if len(self.roots) else 0, rows):
+            part = x[lo : lo + rows]
+            node = np.broadcast_to(self.roots, (len(part), len(self.roots))).copy()
+            own = np.arange(len(part))[:, None]
+            while True:
+                feature = self.feature[node]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                go = part[own, np.maximum(feature, 0)] <= self.threshold[node]
+                node = np.where(inner, np.where(go, self.left[node], self.right[node]), node)
+            # one after the other, as the model adds them up
+            for t in range(len(self.roots)):
+                out[lo : lo + rows] += self.rate * self.value[node[:, t]]
+        return out
 
 
 def scored(cands: DataFrame, model: Ranker) -> DataFrame:
-    """cands with the model's score, in Arrow batches; the trees go with the task, a few MB."""
+    """cands with the model's score, in Arrow batches; the packed trees are broadcast once and held by each process."""
     tables.ship(cands.sparkSession)
     names = cands.columns
+    # a model has 1000 trees of 31 leaves at most: under 4 MB
+    trees = cands.sparkSession.sparkContext.broadcast(Packed(model))
 
     def run(batches):
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1)
-            yield pa.record_batch([*b.columns, pa.array(model.predict(x))], names=[*names, "score"])
+            yield pa.record_batch([*b.columns, pa.array(trees.value.predict(x))], names=[*names, "score"])
 
     return cands.mapInArrow(run, T.StructType([*cands.schema.fields, T.StructField("score", T.DoubleType())]))

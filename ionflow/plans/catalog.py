@@ -11,7 +11,7 @@ from ionflow.config import EngineConfig
 from ionflow.constants import ADDUCTS, ELEMENTS, MASS
 from ionflow.engine import FormulaEngine
 from ionflow.functions import chemistry as C, hashing as H
-from ionflow.operators import candidates as cand, evaluate as ev, features as feat, quality as Q, quantiles, ranking, ranks, spectra as S, stats
+from ionflow.operators import candidates as cand, compare, evaluate as ev, features as feat, quality as Q, quantiles, ranking, ranks, spectra as S, stats
 from ionflow.plans import derived
 from ionflow.sources import files, tables
 
@@ -571,6 +571,76 @@ def q_exact_quantiles(spark, sf_dir):
     return out.select(*by, *(_r(c, 4).alias(c) for c in out.columns if c not in by))
 
 
+# Comparisons: the same candidates ranked by quantity and by price
+_OTHER = _RANKED + """, r2 AS (SELECT l_orderkey AS g, l_linenumber AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2)),
+x2 AS (SELECT t.g, r2.rank FROM t LEFT JOIN r2 ON t.g = r2.g AND t.f = r2.f),
+pr AS (SELECT x.g, coalesce(1.0::DOUBLE / x.rank, 0) AS a, coalesce(1.0::DOUBLE / x2.rank, 0) AS b FROM x JOIN x2 USING (g)) """
+
+
+def _other_truth(spark, sf_dir):
+    r = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("molecule_id"), F.col("l_linenumber").alias("formula")).agg(F.max("l_extendedprice").alias("score"))
+    return ranking.truth_rank(ranking.by_score(r), _ranked(spark, sf_dir)[1])
+
+
+def _pairs(spark, sf_dir):
+    value = compare.reciprocal().alias("value")
+    return compare.paired(*(f(spark, sf_dir).select("molecule_id", value) for f in (_truth, _other_truth)), "molecule_id", "value")
+
+
+@query(_OTHER + "SELECT count(*) AS pairs, count(*) FILTER (WHERE b > a) AS improved, count(*) FILTER (WHERE b < a) AS worsened, count(*) FILTER (WHERE a = b) AS unchanged, round(avg(b - a), 6) AS mean FROM pr")
+def q_model_pairs(spark, sf_dir):
+    return _rounded(compare.paired_change(_pairs(spark, sf_dir)), ["mean"])
+
+
+@query(_OTHER + f""", v AS (SELECT {_HASH.format("g::VARCHAR")} AS h, b - a AS value FROM pr),
+reps AS (SELECT rep, {", ".join(f"{_HASH.format(f"rep || ':{j}'")} AS c{j}" for j in range(4))} FROM generate_series(1, 500) t(rep)),
+z AS (SELECT value, rep, (((((c3 * h + c2) % {stats.PRIME}) * h + c1) % {stats.PRIME}) * h + c0) % {stats.PRIME} AS z FROM v, reps),
+m AS (SELECT rep, sum({_WEIGHT} * value) / sum({_WEIGHT}) AS m FROM z GROUP BY rep)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def q_paired_interval(spark, sf_dir):
+    return _rounded(compare.paired_interval(_pairs(spark, sf_dir), "molecule_id", 500), ["low", "high"])
+
+
+@query("SELECT k, CASE WHEN k IS NULL THEN 'null' WHEN b = 0 THEN 'left_only' WHEN a = 0 THEN 'right_only' ELSE 'repeated' END AS fault FROM (SELECT k, sum(a) AS a, sum(b) AS b FROM (SELECT c_custkey AS k, 1 AS a, 0 AS b FROM customer UNION ALL SELECT o_custkey, 0, 1 FROM orders) GROUP BY k) WHERE k IS NULL OR a <> 1 OR b <> 1")
+def q_pair_faults(spark, sf_dir):
+    left, right = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return compare.pair_faults(left, right, "k")
+
+
+@query(D + """, k AS (SELECT s.molecule_id, s.row_ord, s.base_peak_intensity >= 1000 OR s.base_peak_intensity IS NULL AS kept, count(p.row_ord) AS peaks, count(p.row_ord) FILTER (WHERE p.mz <= precursor_mz + 2.0) AS good FROM spec s LEFT JOIN peak p USING (row_ord) GROUP BY ALL),
+m AS (SELECT molecule_id, count(*) AS spectra, sum(peaks) AS peaks, count(*) FILTER (WHERE kept) AS spectra2, sum(good) FILTER (WHERE kept) AS peaks2, bool_and(kept AND good = peaks) AS same FROM k GROUP BY molecule_id)
+SELECT 'first' AS arm, molecule_id, spectra, peaks::BIGINT AS peaks, false AS reused FROM m UNION ALL SELECT 'second', molecule_id, spectra2, peaks2::BIGINT, same FROM m WHERE spectra2 > 0""")
+def q_two_arms(spark, sf_dir):
+    """All spectra against those that the lenient rule leaves; molecules that it leaves as they are are not computed again."""
+    x = derived.spectra(spark, sf_dir)
+
+    def compute(rows):
+        return rows.groupBy("molecule_id").agg(F.count("*").alias("spectra"), F.sum(F.size("ms2_mzs")).alias("peaks"))
+
+    return compare.two_arms(x, S.clean_by_rule(x, keep_unknown_base=True), compute).select("arm", "molecule_id", "spectra", "peaks", "reused")
+
+
+_COHORT_SQL = {"all": "true", "recalled": "rank IS NOT NULL", "mass_window": "mass BETWEEN 237 AND 465", "within_ppm": "abs(g % 41 - 20) <= 10", "seen": "seen", "unseen": "NOT seen", "single": "f = 1", "multiple": "f > 1"}
+
+
+@query(_RANKED + " UNION ALL ".join(f"SELECT '{name}' AS cohort, {_M} FROM x WHERE {p} HAVING count(*) > 0" for name, p in _COHORT_SQL.items()))
+def q_cohorts(spark, sf_dir):
+    x = _truth(spark, sf_dir).withColumn("error_ppm", F.col("molecule_id") % 41 - 20).withColumn("spectra", F.col("formula"))
+    return _rounded(compare.cohort_metrics(x, compare.diagnostic_cohorts()))
+
+
+@query(_RANKED + f""", m AS (SELECT source AS cohort, {_M.replace("round(", "(").replace(", 6)", ")")} FROM x GROUP BY source), l AS (UNPIVOT m ON {", ".join(f"{n}::DOUBLE AS {n}" for n in ("molecules", *_MN))} INTO NAME metric VALUE v)
+SELECT cohort, metric, round(CASE WHEN metric <> 'top5' THEN CASE metric WHEN 'top1' THEN v + 0.125 ELSE v END END, 6) AS published, round(v, 6) AS recomputed, CASE metric WHEN 'top1' THEN 'differs' WHEN 'top5' THEN 'unpublished' END AS fault FROM l""")
+def q_report_audit(spark, sf_dir):
+    """A report by source in which top1 is wrong and top5 is left out, against its records."""
+    x = _truth(spark, sf_dir)
+    sources = {r.source: F.col("source") == r.source for r in x.select("source").distinct().collect()}
+    own = ev.metrics(x, ["source"]).withColumn("top1", F.col("top1") + 0.125)
+    names = [n for n in ("molecules", *_MN) if n != "top5"]
+    published = own.select(F.col("source").alias("cohort"), F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(n).cast("double") for n in names)))).alias("metric", "value"))
+    return _rounded(compare.recomputed(x, published, sources), ["published", "recomputed"])
+
+
 # Whole engine: rows only, or held against counts
 def _predicted(spark, sf_dir):
     rows = derived.spectra(spark, sf_dir).select("molecule_id", "spectrum_id", *S.INFERENCE_COLUMNS, "row_ord")
