@@ -13,9 +13,12 @@ notices, adverts, forms, comments). No page of the table read is used for it.
 Text: character references decoded, white space inside a block one space,
 trimmed, blocks of content joined in page order by one space; nothing else is
 dropped or capped. Scripts, styles, templates, markup comments and the head are
-never blocks. Null and empty html give the empty text. Rows that repeat a
-page_id are rows of their own; other columns are ignored; an empty table gives
-no rows. Unclosed tags end where their parent does.
+never blocks; text of noscript and svg elements is text like any other. Null and
+empty html give the empty text. Rows that repeat a page_id are rows of their own;
+other columns are ignored; an empty table gives no rows. Unclosed tags end where
+their parent does. Pages of any length and depth are read whole: time and memory
+grow with the length of the page, however deep its elements nest, since an
+element's features are its parent's and what it adds.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from ionflow.llm import common
 # Tags by what they do to the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe svg head title textarea".split())
+RAW_TAGS = frozenset("script style template iframe head title textarea".split())
 #: Of these, those whose content is text up to the literal end tag.
-RAW_TEXT = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in "script style noscript iframe title textarea template".split()}
+RAW_TEXT = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in "script style iframe title textarea template".split()}
 #: Start tags that do not end a head whose end tag is left out.
 HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,12 +59,46 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return m.start() if m else len(page)
 
 
-def blocks(page: str) -> list[tuple[str, list[str], int]]:
-    """(text, feature names, link characters) of each leaf block in page order."""
-    out: list[tuple[str, list[str], int]] = []
-    stack: list[tuple[str, list[str]]] = []
+class Element:
+    """An open element: its tag, and of the names of tags and attributes those that no ancestor has."""
+
+    __slots__ = ("tag", "parent", "fresh", "near", "sum")
+
+    def __init__(self, tag: str, words: list[str], parent: Element | None, fresh: list[str]):
+        self.tag, self.parent, self.fresh = tag, parent, fresh
+        #: names of attributes of the nearest element that has some
+        self.near: list[str] = words or (parent.near if parent else [])
+        self.sum: float | None = None  # of the weights of all names of it and its ancestors
+
+    def names(self) -> list[str]:
+        """All names of it and its ancestors, each once."""
+        out, own = [], self
+        while own is not None:
+            out += own.fresh
+            own = own.parent
+        return out
+
+    def weight(self, w: list[float]) -> float:
+        """Sum of the weights of names(); kept, so that each element is summed once, deepest last."""
+        path, own = [], self
+        while own is not None and own.sum is None:
+            path.append(own)
+            own = own.parent
+        total = own.sum if own is not None else 0.0
+        for e in reversed(path):
+            total += sum(w[_HASHES[f"in:{x}"]] for x in e.fresh)
+            e.sum = total
+        return total
+
+
+def blocks(page: str) -> list[tuple[str, Element | None, int]]:
+    """(text, innermost element, link characters) of each leaf block in page order."""
+    out: list[tuple[str, Element | None, int]] = []
+    stack: list[Element] = []
+    named: list[list[str]] = []  # fresh and other names of each element of the stack
+    active: dict[str, int] = {}  # how many open elements have a name
     text: list[str] = []
-    links = in_link = 0
+    links = 0
     skip = None  # a raw tag whose end is looked for
 
     def flush():
@@ -69,14 +106,17 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                names = []
-                for tag, words in stack:
-                    names.append(tag)
-                    names += words
-                out.append((joined, names, links))
+                out.append((joined, stack[-1] if stack else None, links))
             text.clear()
         links = 0
 
+    def close(k: int) -> None:
+        """Ends the elements of the stack from place k on."""
+        for names in named[k:]:
+            for x in names:
+                active[x] -= 1
+        del stack[k:], named[k:]
+
     at = 0
     while at < len(page):
         t = _TOKEN.match(page, at).group()
@@ -98,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
                 continue
         if t[0] != "<" or len(t) == 1:
             text.append(html.unescape(t))  # references do not go on across tags
-            if in_link:
+            if active.get("a"):
                 links += len(t)
             continue
         n = _NAME.match(t)
@@ -108,25 +148,21 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if t[1] == "/":
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for gone, _ in stack[k:]:
-                        in_link -= gone == "a"
-                    del stack[k:]
-                    break
+            if active.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in BLOCK_TAGS or tag in RAW_TAGS:
             if tag in BLOCK_TAGS:
                 flush()
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        for gone, _ in stack[k:]:
-                            in_link -= gone == "a"
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK_TAGS:
-                        break
+            if tag in _ENDS_P and active.get("p"):
+                k = len(stack) - 1
+                while stack[k].tag not in BLOCK_TAGS:
+                    k -= 1
+                if stack[k].tag == "p":
+                    close(k)
         if tag in RAW_TAGS:
             if not t.endswith("/>"):
                 if tag in RAW_TEXT:
@@ -140,8 +176,11 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         for key, *values in _ATTR.findall(t[len(tag) + 1 :]):
             key = key.lower()
             words += ["@hidden"] if key == "hidden" else [f"@{w}" for w in _WORDS.findall("".join(values).lower())]
-        in_link += tag == "a"
-        stack.append((tag, words))
+        own = list(dict.fromkeys([tag, *words]))
+        stack.append(Element(tag, words, stack[-1] if stack else None, [x for x in own if not active.get(x)]))
+        named.append(own)
+        for x in own:
+            active[x] = active.get(x, 0) + 1
     flush()
     return out
 
@@ -169,25 +208,41 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def features(block: tuple[str, list[str], int]) -> list[int]:
-    text, names, links = block
-    n = len(text)
-    own = {f"in:{x}" for x in names}
-    own.add("bias")
-    own.add(f"len:{_bucket(n, (10, 25, 50, 100, 200, 400))}")
-    own.add(f"link:{_bucket(links / n, (0.05, 0.3, 0.7))}")
-    own.add(f"stops:{_bucket(sum(text.count(c) for c in '.!?'), (1, 2, 4))}")
-    own.add(f"end:{text[-1] in '.!?…'}")
-    if "©" in text:
-        own.add("copyright")
-    tail = [x for x in names if x[0] != "@"]
-    for k, x in enumerate(tail[:-4:-1]):
-        own.add(f"up{k}:{x}")
-    near = next((k for k in range(len(names) - 1, -1, -1) if names[k][0] == "@"), None)
-    while near is not None and near >= 0 and names[near][0] == "@":
-        own.add(f"near:{names[near]}")
-        near -= 1
-    return [_HASHES[x] for x in own]
+#: Lines with an author's date or how long ago it was, and headings that count what readers have written.
+_BYLINE = re.compile(r"\b(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{1,2}:\d\d|\d{1,2}\.? \w+ \d{4}|\w+ \d{1,2}, \d{4})\b|\b\d+ \w+ ago\b")
+_COUNTED = re.compile(r"\W*(?:\w+ )?\(?\d+\)?(?: \w+)?\W*|\w+ \(\d+\)")
+
+
+def page_features(found: list[tuple[str, Element | None, int]]) -> list[tuple[list[int], Element | None]]:
+    """Of each block hashes of the features of its text and place, and its element, whose names are features too."""
+    out, bylines, counted = [], 0, False
+    before = False  # whether the block before has a byline
+    for text, element, links in found:
+        n = len(text)
+        byline = n < 100 and _BYLINE.search(text) is not None
+        bylines += byline
+        counted |= n < 40 and _COUNTED.fullmatch(text) is not None
+        own = {
+            "bias", f"len:{_bucket(n, (10, 25, 50, 100, 200, 400))}", f"link:{_bucket(links / n, (0.05, 0.3, 0.7))}",
+            f"stops:{_bucket(sum(text.count(c) for c in '.!?'), (1, 2, 4))}", f"end:{text[-1] in '.!?…'}", f"bylines:{min(bylines, 3)}", f"byline:{byline}", f"after:{before}", f"counted:{counted}",
+        }
+        if "©" in text:
+            own.add("copyright")
+        e = element
+        for k in range(3):
+            if e is not None:
+                own.add(f"up{k}:{e.tag}")
+                e = e.parent
+        if element is not None:
+            own.update(f"near:{x}" for x in element.near)
+        out.append(([_HASHES[x] for x in own], element))
+        before = byline
+    return out
+
+
+def features(found: list[tuple[str, Element | None, int]]) -> list[list[int]]:
+    """All features of each block of a page."""
+    return [own + [_HASHES[f"in:{x}"] for x in e.names()] if e is not None else own for own, e in page_features(found)]
 
 
 class Chain:
@@ -198,12 +253,21 @@ class Chain:
         self._t = trans.tolist()
         self._w = w.tolist()
 
+    def label(self, found: list[tuple[str, Element | None, int]]) -> list[int]:
+        """Labels of a page's blocks."""
+        w = self._w
+        return self._best([sum(w[i] for i in own) + (e.weight(w) if e is not None else 0.0) for own, e in page_features(found)])
+
     def viterbi(self, feats: list[list[int]]) -> list[int]:
-        w, t = self._w, self._t
+        """Labels of blocks with these features."""
+        w = self._w
+        return self._best([sum(w[i] for i in f) for f in feats])
+
+    def _best(self, emissions: list[float]) -> list[int]:
+        t = self._t
         a0 = a1 = 0.0
         back = []
-        for k, f in enumerate(feats):
-            e = sum(w[i] for i in f)
+        for k, e in enumerate(emissions):
             if k:
                 x0, x1 = a0 + t[0][0], a1 + t[1][0]
                 y0, y1 = a0 + t[0][1], a1 + t[1][1]
@@ -292,6 +356,20 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], l
             return ""
         return f' {rng.choice(["class", "class", "id"])}="{rng.choice([" ", "-"]).join(picked)}"'
 
+    def date() -> str:
+        d, m, y = rng.randint(1, 28), rng.randint(1, 12), rng.randint(2000, 2025)
+        return rng.choice([f"{d} {word().title()} {y}", f"{word().title()} {d}, {y}", f"{y}-{m:02}-{d:02}", f"{d}.{m}.{y}", f"{d} {word()} ago", f"{d}/{m}/{y} {d % 24}:{m:02}"])
+
+    def thread() -> str:
+        """What readers wrote, under names of no list: a heading that counts it, then authors, dates and texts."""
+        outer, item = rng.choice([("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article"), ("section", "div"), ("dl", "dd")])
+        names = [f' class="{word()}{rng.choice(["", f" {word()}", f"-{word()}"])}"' if rng.random() < 0.7 else "" for _ in range(3)]
+        n, mark = rng.randint(1, 6), rng.choice(["<time>{}</time>", "<span>{}</span>", "<a href='#'>{}</a>", "{}"])
+        by = rng.choice([f"<div>{word().title()} {mark}</div>", f"<p><b>{word().title()}</b> {mark}</p>", f"<header>{word().title()}, {mark}</header>"])
+        items = "".join(f"<{item}{names[1]}>{by.format(date())}{rng.choice(['<p{}>{}</p>', '<div{}>{}</div>']).format(names[2], text(3, 60))}</{item}>" for _ in range(n))
+        head = rng.choice([f"<h3>{n} {word()}</h3>", f"<h2>{word().title()} ({n})</h2>", f"<h4>{word().title()} {n}</h4>", f"<h3>{text(1, 2)}</h3>"])
+        return f"{head}<{outer}{names[0]}>{items}</{outer}>"
+
     def furniture(kind: str) -> str:
         names = _FURNITURE[kind]
         own = attr(names)
@@ -302,6 +380,8 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], l
             inner = "<ul>" + "".join(f'<li><a href="/{word()}">{text(1, 3)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>"
         elif kind == "form":
             inner = f"<label>{text(1, 4)}</label><input><button>{text(1, 2)}</button>"
+        elif kind == "section" and rng.random() < 0.35:
+            return thread()
         elif kind == "section":
             inner = "".join(f"<div{attr('comment reply')}><p>{text(4, 50)}</p></div>" for _ in range(rng.randint(1, 4)))
             own = own or ' class="comments"'
@@ -317,18 +397,27 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], l
     while len(out) < n:
         # furniture is marked by a character that no rule above makes
         before = [furniture(k) for k in rng.sample(["nav", "header", "div", "aside", "form"], rng.randint(0, 3))]
+        if rng.random() < 0.08:
+            before.append(f"<noscript>{rng.choice(['<p>{}</p>', '{}', '<div>{}</div>']).format(text(3, 20))}</noscript>")
         after = [furniture(k) for k in rng.sample(["footer", "aside", "section", "div", "nav", "form"], rng.randint(0, 4))]
         own = []
         if rng.random() < 0.8:
             own.append(f"<h1>{text(2, 12)}</h1>")
+        if rng.random() < 0.25:
+            own.append(rng.choice(["<p>{} {}</p>", "<div>{}, {}</div>", "<p>{} <time>{}</time></p>"]).format(text(1, 4), date()))
         for _ in range(rng.randint(1, 9)):
             r = rng.random()
             if r < 0.56:
                 own.append(f"<p>{rng.choice(['', '<b>', '<em>'])}{text(5, 120)}{rng.choice(['</p>', '</p>', '', '<br>' + text(5, 40) + '</p>'])}")
             elif r < 0.66:
                 own.append(f"<h2>{text(1, 8)}</h2>")
-            elif r < 0.74:
+            elif r < 0.72:
                 own.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
+            elif r < 0.75:  # links are text too where an article lists them
+                kind = rng.choice(["ul", "ol"])
+                own.append(f"<{kind}>" + "".join(f'<li><a href="/{word()}">{text(1, 8)}</a></li>' for _ in range(rng.randint(2, 6))) + f"</{kind}>")
+            elif r < 0.76:
+                own.append(rng.choice(["<noscript><p>{}</p></noscript>", "<figure><svg><text>{}</text></svg></figure>"]).format(text(3, 30)))
             elif r < 0.79:
                 own.append(f"<blockquote>{text(5, 40)}</blockquote>")
             elif r < 0.82:
@@ -339,6 +428,8 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], l
                 own.append(f'<p>{text(3, 20)} <a href="#">{text(1, 4)}</a> {text(3, 20)}</p>')
             else:
                 own.append("\0" + furniture(rng.choice(["div", "div", "aside", "form", "nav", "section"])))
+        if rng.random() < 0.15:
+            own.append("\0" + thread())
         tag = rng.choice(["article", "article", "main", "div", "section"])
         wrap = attr(_ARTICLE) or (' class="content"' if tag in ("div", "section") else "")
 
@@ -354,7 +445,7 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[list[int]], l
             labels += [0 if x[0] == "\0" else 1] * len(page(f"<{tag}>", x.lstrip("\0"), f"</{tag}>"))
         labels += [0] * count(after)
         if len(labels) == len(whole) and whole:
-            out.append(([features(b) for b in whole], labels))
+            out.append((features(whole), labels))
     return out
 
 
@@ -371,7 +462,7 @@ def main_text(page: str | None, model: Chain) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    labels = model.viterbi([features(b) for b in found])
+    labels = model.label(found)
     return " ".join(b[0] for b, y in zip(found, labels) if y)
 
 
