@@ -8,7 +8,9 @@
 3. The order is cut into fragments of equal mass; within each, the rarest
    first, the overlap of candidate pairs is counted separately, and the partial
    counts are summed per pair. A pair whose sum can no longer reach the
-   threshold goes no further.
+   threshold goes no further; nor does one whose parities already bound it: bit
+   by bit, the parity of how many of a text's shingles have a hash, which two
+   texts differ in at no more places than they have shingles apart.
 4. Links are joined to components. Long posting lists first compare all
    documents with a few of them; whatever then still lies in different
    components is compared in full, so that no link between components is lost
@@ -45,6 +47,9 @@ SALT_ROWS = 512
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
 _PARTS = [f"t{k}" for k in range(FRAGMENTS)]
+#: 64-bit words of a text's parities.
+_WORDS = 8
+_PARITIES = [f"p{k}" for k in range(_WORDS)]
 #: A text is known by its document and its digest, since rows that repeat a doc_id can hold several.
 _PREFIX = ["tok", "salt", "doc", "d", "n", "pos"]
 _PREFIX_TYPES = "tok long, salt int, doc long, d long, n int, pos int"
@@ -235,7 +240,7 @@ def _pairs(second: bool):
 
 
 def _fragments(level: np.ndarray, cuts: np.ndarray):
-    """Each document's shingles by fragment of the global order: a column a fragment, sorted and packed."""
+    """Each document's parities, and its shingles by fragment of the global order: a column a fragment, sorted and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, now = set(), None  # rows come by document: those that repeat one's text go once
@@ -254,6 +259,9 @@ def _fragments(level: np.ndarray, cuts: np.ndarray):
                     size = np.bincount(r[own], minlength=m)
                     ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
                     columns.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(v[own].tobytes())]))
+                bit = (textvec.mix(v) % np.uint64(64 * _WORDS)).astype(np.int64)
+                odd = (np.bincount(r * (64 * _WORDS) + bit, minlength=m * 64 * _WORDS) & 1).astype(np.uint8)
+                words = np.packbits(odd.reshape(m, _WORDS, 64), axis=2).view(np.int64)[:, :, 0]
                 use = n > 0
                 for k, (doc, x) in enumerate(zip(ids[i:j].tolist(), dig.tolist())):
                     if doc != now:
@@ -261,7 +269,7 @@ def _fragments(level: np.ndarray, cuts: np.ndarray):
                         seen.clear()
                     use[k] &= x not in seen
                     seen.add(x)
-                yield pa.record_batch([b.column(0).slice(i, m), pa.array(dig.view(np.int64)), *columns], names=["doc", "d", *_PARTS]).filter(pa.array(use))
+                yield pa.record_batch([b.column(0).slice(i, m), pa.array(dig.view(np.int64)), *(pa.array(words[:, k].copy()) for k in range(_WORDS)), *columns], names=["doc", "d", *_PARITIES, *_PARTS]).filter(pa.array(use))
 
     return run
 
@@ -282,17 +290,23 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple, base: str, tag: str) -> DataFrame:
-    """The pairs that link: overlaps are counted fragment by fragment, rarest shingles first, and summed per pair.
+    """The pairs that link: those that parities leave are counted fragment by fragment, rarest shingles first, and summed per pair.
 
     A fragment is a stage of its own that reads only its column of the sets. A
     pair goes on while its sum and what both still have can reach the threshold.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # sort-merge joins at every size: plans, and so disk, grow in proportion
-    shape = "doc long, d long, " + ", ".join(f"{c} binary" for c in _PARTS)
+    shape = "doc long, d long, " + ", ".join([*(f"{c} long" for c in _PARITIES), *(f"{c} binary" for c in _PARTS)])
     sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments(*cut), shape), f"{base}/sets{tag}")
     common.release(spark)
-    left = pairs.select(*_PAIR, F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
+    left = pairs
+    for c in ("b", "a"):
+        own = sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), F.array(*_PARITIES).alias(f"p{c}")).hint("merge")
+        left = left.join(own, [c, f"d{c}"])
+    apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(_WORDS)), F.lit(0))
+    left = left.select(*_PAIR, F.floor((F.col("na") + F.col("nb") - apart) / 2).alias("most")).where(f"100 * most >= {PERCENT} * (na + nb - most)")
+    left = common.saved(left.select(*_PAIR, F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb")), f"{base}/near{tag}")
     for k, part in enumerate(_PARTS):
         for c in ("b", "a"):
             own = sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), F.col(part).alias(f"t{c}")).hint("merge")
@@ -302,8 +316,7 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple
         left = left.where(f"100 * (both + least(ra, rb)) >= {PERCENT} * (na + nb - both - least(ra, rb))")
         with common.arrow_rows(spark, 250):
             left = common.saved(left, f"{base}/partial{tag}{k}")
-        if k:
-            common.remove(spark, f"{base}/partial{tag}{k - 1}")
+        common.remove(spark, f"{base}/partial{tag}{k - 1}" if k else f"{base}/near{tag}")
     out = common.saved(left.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
     common.remove(spark, f"{base}/sets{tag}", f"{base}/partial{tag}{len(_PARTS) - 1}")
     common.release(spark)
