@@ -47,8 +47,8 @@ _NAMES = 20_000
 CELLS, LEVELS = 1.5, 40
 #: Texts, and characters of several texts, that are encoded at once.
 _TEXTS, _CHARS = 256, 1 << 21
-#: Chunks of text kept with their ids, some 130 MB a worker; beyond, or eight times as many ids, all are forgotten.
-_KNOWN = 600_000
+#: Chunks of text kept with their ids, some 220 MB a worker; beyond, or eight times as many ids, all are forgotten.
+_KNOWN = 1_000_000
 #: New chunks that go through the library as one text: it is slower with longer ones.
 _JOINED = 200
 #: Adjoining ranges are read together up to this many bytes.
@@ -82,8 +82,19 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all chunks, with room for more
+        self.start, self.size = np.zeros((2, 1 << 14), np.int64)
+
+    def _keep(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, end = len(self.place), len(self.place) + len(chunks)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while end > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n:end], self.size[n:end] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.place.update(zip(chunks, range(n, end)))
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,15 +109,11 @@ class Encoder:
         for own, ids in zip(groups, self._encoded(["\n".join(g) for g in groups])):
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             if len(ends) == len(own):
-                self.place.update(zip(own, range(len(self.place), len(self.place) + len(own))))
-                self.sizes.append(np.diff(ends, prepend=-1) - 1)
-                self.parts.append(ids[ids != self.line])
+                self._keep(own, np.diff(ends, prepend=-1) - 1, ids[ids != self.line])
         rest = [c for c in chunks if c not in self.place]
         if rest:
             ids = self._encoded(rest)
-            self.place.update(zip(rest, range(len(self.place), len(self.place) + len(rest))))
-            self.sizes.append(np.array([len(x) for x in ids]))
-            self.parts.append(np.concatenate(ids))
+            self._keep(rest, np.array([len(x) for x in ids]), np.concatenate(ids))
 
     @staticmethod
     def _spaces(text: str, out: list[str]) -> None:
@@ -150,17 +157,17 @@ class Encoder:
         """Ids of all texts one after the other, without end ids, and their numbers."""
         chunks = [self.cut(t) for t in texts]
         every = list(itertools.chain.from_iterable(chunks))
-        new = [c for c in dict.fromkeys(every) if c not in self.place]
+        at = list(map(self.place.get, every))
+        new = [k for k, x in enumerate(at) if x is None] if None in at else []
         if new:
-            self._learn(new)
-        at = np.fromiter((self.place[c] for c in every), np.int64, len(every))
-        size = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
-        flat = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
-        self.sizes, self.parts = [size], [flat]
-        start, n = (np.cumsum(size) - size)[at], size[at]
-        ids = flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            self._learn(list(dict.fromkeys([every[k] for k in new])))
+            for k in new:
+                at[k] = self.place[every[k]]
+        at = np.array(at, np.int64)
+        start, n = self.start[at], self.size[at]
+        ids = self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         per = np.add.reduceat(np.append(n, 0), np.cumsum([0, *(len(c) for c in chunks)])[:-1]) if len(texts) else n
-        if len(self.place) > _KNOWN or len(flat) > 8 * _KNOWN:
+        if len(self.place) > _KNOWN or self.used > 8 * _KNOWN:
             self._forget()
         return ids, per
 
