@@ -334,13 +334,20 @@ pk AS (SELECT pn.*, greatest(0.5::DOUBLE, mz * 1e-5) AS tol FROM pn JOIN sp USIN
 extra AS (SELECT * FROM (VALUES (0, 0::DOUBLE, NULL), {_EXTRA}) t(z, zm, za)),
 part_ AS (SELECT c, h, n, o, za, c * {MASS['C']!r}::DOUBLE + h * {MASS['H']!r}::DOUBLE + n * {MASS['N']!r}::DOUBLE + o * {MASS['O']!r}::DOUBLE + zm AS m
   FROM generate_series(0, 11) t1(c), generate_series(0, 28) t2(h), generate_series(0, 3) t3(n), generate_series(0, 10) t4(o), extra WHERE c + h + n + o + z > 0),
-mt AS (SELECT v.molecule_id, v.row_ord, v.c, v.h, v.n, v.o, k.mz, k.i, min(abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) / k.tol) AS e
+mt AS (SELECT v.molecule_id, v.row_ord, v.c, v.h, v.n, v.o, k.mz, k.i, min(abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) / k.tol) AS e,
+   arg_min(v.ic - q.c || ',' || v.ih - q.h || ',' || v.i_n - q.n || ',' || v.io - q.o || ',' || (q.za IS NULL AND v.a IN (SELECT za FROM extra WHERE za IS NOT NULL)), abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) / k.tol) AS lost
    FROM valid v JOIN pk k ON k.row_ord = v.row_ord JOIN part_ q ON abs(q.m - (k.mz + v.charge * 0.000548579909065::DOUBLE)) <= k.tol * (1 + 1e-8) AND (q.za IS NULL OR q.za = v.a) AND q.c <= v.ic AND q.h <= v.ih AND q.n <= v.i_n AND q.o <= v.io GROUP BY ALL),
 sm AS (SELECT row_ord, count(*) AS np, sum(i) AS ti FROM pk GROUP BY 1)
 """
 
 
-@query(_EVID + "SELECT v.molecule_id, v.row_ord, v.c, v.h, v.n, v.o, round(coalesce(count(mt.mz)::DOUBLE / max(sm.np), 0), 9) AS peak_fraction, round(coalesce(sum(mt.i) / max(sm.ti), 0), 9) AS intensity_fraction FROM valid v LEFT JOIN mt ON v.row_ord = mt.row_ord AND v.c = mt.c AND v.h = mt.h AND v.n = mt.n AND v.o = mt.o LEFT JOIN sm ON sm.row_ord = v.row_ord GROUP BY 1, 2, 3, 4, 5, 6")
+#: What of the ion the best part of a peak leaves, as counts and whether the adduct's own atom is among it.
+_LOST = {"water": "0,2,0,1,false", "co": "1,0,0,1,false", "co2": "1,0,0,2,false", "ammonia": "0,3,1,0,false"}
+
+
+@query(_EVID + "SELECT v.molecule_id, v.row_ord, v.c, v.h, v.n, v.o, round(coalesce(count(mt.mz)::DOUBLE / max(sm.np), 0), 9) AS peak_fraction, round(coalesce(sum(mt.i) / max(sm.ti), 0), 9) AS intensity_fraction, round(coalesce(avg(mt.e), 1), 6) AS fragment_error_fraction, "
+    + ", ".join(f"round(coalesce(sum(mt.i) FILTER (WHERE mt.lost = '{x}') / max(sm.ti), 0), 9) AS {n}_loss_fraction" for n, x in _LOST.items())
+    + " FROM valid v LEFT JOIN mt ON v.row_ord = mt.row_ord AND v.c = mt.c AND v.h = mt.h AND v.n = mt.n AND v.o = mt.o LEFT JOIN sm ON sm.row_ord = v.row_ord GROUP BY 1, 2, 3, 4, 5, 6")
 def q_fragment_evidence(spark, sf_dir):
     config = EngineConfig(element_limits=SMALL.element_limits, fragment_da=0.5)
     c, x = _cands(spark, sf_dir)
@@ -348,7 +355,7 @@ def q_fragment_evidence(spark, sf_dir):
     raw = S.clean_peaks(S.merged_peaks(F.col("ms2_mzs"), F.col("ms2_normalized_intensities")), config)
     e = feat.evidence(c, x.withColumn("peaks", raw), config).where("not exceeded")
     e = e.join(x.select("molecule_id", "spectrum_id", "delta"), ["molecule_id", "spectrum_id"]).where(C.feasible(C.ion_counts(F.col("vector"), F.col("delta"))))
-    return e.select("molecule_id", F.col("spectrum_id").cast("long").alias("row_ord"), *(F.element_at("vector", k + 1).alias(n) for k, n in enumerate("chno")), _r("peak_fraction", 9).alias("peak_fraction"), _r("intensity_fraction", 9).alias("intensity_fraction"))
+    return e.select("molecule_id", F.col("spectrum_id").cast("long").alias("row_ord"), *(F.element_at("vector", k + 1).alias(n) for k, n in enumerate("chno")), *(_r(n, 6 if n == "fragment_error_fraction" else 9).alias(n) for n in feat.PER_SPECTRUM[2:9]))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE (l_partkey % 6)::INTEGER WHEN 0 THEN 'water' WHEN 1 THEN 'co' WHEN 2 THEN 'co2' WHEN 3 THEN 'ammonia' END AS loss FROM lineitem")
