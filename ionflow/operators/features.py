@@ -14,10 +14,11 @@ from ionflow.sources import tables
 
 # Names of the evidence of one spectrum, in order.
 PER_SPECTRUM = (
-    "abs_ppm supported peak_fraction intensity_fraction fragment_error_fraction water_loss_fraction co_loss_fraction "
-    "co2_loss_fraction ammonia_loss_fraction log_peak_count positive ce_mean ce_min ce_max ce_missing log_base_peak "
-    "base_missing timsTOF orbitrap instrument_missing"
-).split()
+    "abs_ppm", "supported", "peak_fraction", "intensity_fraction", "fragment_error_fraction",
+    "water_loss_fraction", "co_loss_fraction", "co2_loss_fraction", "ammonia_loss_fraction",
+    "log_peak_count", "positive", "ce_mean", "ce_min", "ce_max", "ce_missing", "log_base_peak", "base_missing",
+    "timsTOF", "orbitrap", "instrument_missing",
+)
 FEATURES = [f"count_{e}" for e in ELEMENTS] + ["dbe", "h_c", "hetero_c", "mass"] + [f"{n}_{a}" for a in ("mean", "max", "min") for n in PER_SPECTRUM]
 _EVIDENCE = PER_SPECTRUM[2:9]
 
@@ -37,16 +38,21 @@ def evidence(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> Data
 
     def kernel_rows(batches):
         for b in batches:
-            for r in b.to_pylist():
-                v = np.array(r["vectors"], np.int64)
-                ions = np.concatenate([v, np.zeros((len(v), 2), np.int64)], axis=1) + np.array(r["delta"])
+            column = {c: b.column(c) for c in b.schema.names}
+            for i in range(b.num_rows):
+                # the numbers of a row as they lie in the batch, without Python lists
+                own = column["vectors"].slice(i, 1).flatten()
+                n = len(own)
+                v = own.flatten().to_numpy().reshape(n, 10).astype(np.int64)
+                mzs, powers, delta = (column[c].slice(i, 1).flatten().to_numpy() for c in ("mzs", "powers", "delta"))
+                ions = np.concatenate([v, np.zeros((n, 2), np.int64)], axis=1) + delta
                 try:
-                    x, over = kernel.fragment_evidence(ions, np.array(r["mzs"]), np.array(r["powers"]), r["charge"], da, ppm, most), False
+                    x, over = kernel.fragment_evidence(ions, mzs, powers, column["charge"][i].as_py(), da, ppm, most), False
                 except kernel.SearchLimit:
-                    x, over = np.zeros((len(v), 7)), True
-                n = len(v)
+                    x, over = np.zeros((n, 7)), True
+                ids = (pa.repeat(column[c][i], n) for c in ("molecule_id", "spectrum_id"))
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 10, pa.int32()), pa.array(v.astype(np.int32).ravel()))
-                yield pa.record_batch([pa.array([r["molecule_id"]] * n, pa.string()), pa.array([r["spectrum_id"]] * n, pa.string()), vec, *(pa.array(x[:, k]) for k in range(7)), pa.array(np.full(n, over))], names=names)
+                yield pa.record_batch([*ids, vec, *(pa.array(x[:, k]) for k in range(7)), pa.array(np.full(n, over))], names=names)
 
     shape = "molecule_id string, spectrum_id string, vector array<int>, " + ", ".join(f"{c} double" for c in _EVIDENCE) + ", exceeded boolean"
     parts = max(1, int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")))

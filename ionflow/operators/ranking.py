@@ -92,8 +92,8 @@ class Tree:
         return {k: getattr(self, k).tolist() for k in ("feature", "threshold", "left", "right", "value", "gain", "cover")}
 
 
-def _grow(bins, edges, grad, hess, leaves, least, l2):
-    """Best-first growth from gradient histograms; bins: n x f of uint8."""
+def _grow(bins, edges, grad, hess, leaves, least, l2, features=None):
+    """Best-first growth from gradient histograms; bins: n x f of uint8; features: those that may split, else all."""
     n, f = bins.shape
     width = 64
     feature, threshold, left, right, value, gains, cover = [-1], [0.0], [-1], [-1], [0.0], [0.0], [float(n)]
@@ -110,6 +110,8 @@ def _grow(bins, edges, grad, hess, leaves, least, l2):
         gt, ht, ct = g[:, -1:], h[:, -1:], c[:, -1:]
         gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
         gain[(c < least) | (ct - c < least)] = -np.inf
+        if features is not None:
+            gain[~features] = -np.inf
         at = int(np.argmax(gain))
         return gain.ravel()[at], at // width, at % width
 
@@ -169,10 +171,11 @@ def mrr(scores: np.ndarray, labels: np.ndarray, sizes: np.ndarray, k: int = 25,
     return float((1 / rank[rank <= k]).sum()) / n if n else 0.0
 
 
-def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05, patience=50, least=20, l2=1e-3, valid_groups=None) -> Ranker:
+def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05, patience=50, least=20, l2=1e-3, valid_groups=None, truncation=None, feature_share=1.0, row_share=1.0, seed=42) -> Ranker:
     """Train on groups of consecutive rows (at most a few hundred each); stop when validation MRR@25 does not rise.
 
-    valid: (x, y, sizes). weights: one a group.
+    valid: (x, y, sizes). weights: one a group. truncation: of a pair one must rank
+    so high. Each tree sees shares of features and rows drawn by seed.
     """
     if len(sizes) and max(sizes) > 10_000:
         raise ValueError("a group has more than 10000 rows")
@@ -181,7 +184,7 @@ def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05
     bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
     weights = np.ones(len(sizes)) if weights is None else np.asarray(weights, float)
-    score, trees = np.zeros(len(x)), []
+    score, trees, rng = np.zeros(len(x)), [], np.random.default_rng(seed)
     best, best_n, vs = -1.0, 0, None if valid is None else np.zeros(len(valid[0]))
     for _ in range(rounds):
         grad, hess = np.zeros(len(x)), np.full(len(x), 1e-6)
@@ -196,13 +199,16 @@ def fit(x, y, sizes, valid=None, weights=None, rounds=1000, leaves=31, rate=0.05
             gain = np.abs(1 / np.log2(1 + rank[i]) - 1 / np.log2(1 + rank)) * weights[g]
             p = 1 / (1 + np.exp(np.clip(s[i] - s, -30, 30)))
             p[i] = gain[i] = 0.0
+            if truncation is not None and rank[i] > truncation:
+                gain[rank > truncation] = 0.0
             grad[a:b] += gain * p
             hess[a:b] += gain * p * (1 - p)
             grad[a + i] -= (gain * p).sum()
             hess[a + i] += (gain * p * (1 - p)).sum()
-        tree, rows_of = _grow(bins, edges, grad, hess, leaves, min(least, max(1, len(x) // 10)), l2)
-        for node, rows in rows_of.items():
-            score[rows] += rate * tree.value[node]
+        some = slice(None) if row_share >= 1 else np.sort(rng.choice(len(x), max(1, int(row_share * len(x))), replace=False))
+        own = None if feature_share >= 1 else np.isin(np.arange(x.shape[1]), rng.choice(x.shape[1], max(1, int(feature_share * x.shape[1])), replace=False))
+        tree, _ = _grow(bins[some], edges, grad[some], hess[some], leaves, min(least, max(1, len(x) // 10)), l2, own)
+        score += rate * tree.predict(x)
         trees.append(tree)
         if valid is not None:
             vs += rate * tree.predict(np.asarray(valid[0], np.float32))
