@@ -185,6 +185,17 @@ def write_jsonl(rows: DataFrame, path: str, overwrite: bool = True) -> int:
     return n
 
 
+def write_lines(rows: Iterable[Mapping], path: str) -> int:
+    """One JSON line a mapping into a new file; NaN and infinities are errors."""
+    n = 0
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "x", encoding="utf-8") as f:
+        for row in rows:
+            f.write(json.dumps(row, ensure_ascii=False, allow_nan=False) + "\n")
+            n += 1
+    return n
+
+
 def write_json_table(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The distributed form of write_jsonl: a folder of JSON lines files."""
     rows.write.mode(mode).json(path)
