@@ -17,6 +17,7 @@ def _whole(name: str, value, least: int) -> None:
 
 @dataclasses.dataclass(frozen=True)
 class EngineConfig:
+    # Names and defaults of settings.
     schema_version: int = 1
     precursor_ppm: float = 10.0
     fragment_ppm: float = 10.0
