@@ -300,23 +300,22 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, cut: tuple
     shape = "doc long, d long, " + ", ".join([*(f"{c} long" for c in _PARITIES), *(f"{c} binary" for c in _PARTS)])
     sets = common.saved(docs.hint("merge").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_fragments(*cut), shape), f"{base}/sets{tag}")
     common.release(spark)
-    left = pairs
-    for c in ("b", "a"):
-        own = sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), F.array(*_PARITIES).alias(f"p{c}")).hint("merge")
-        left = left.join(own, [c, f"d{c}"])
+    left = pairs.select(*_PAIR, F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
     apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(_WORDS)), F.lit(0))
-    left = left.select(*_PAIR, F.floor((F.col("na") + F.col("nb") - apart) / 2).alias("most")).where(f"100 * most >= {PERCENT} * (na + nb - most)")
-    left = common.saved(left.select(*_PAIR, F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb")), f"{base}/near{tag}")
+    most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
     for k, part in enumerate(_PARTS):
         for c in ("b", "a"):
-            own = sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), F.col(part).alias(f"t{c}")).hint("merge")
-            left = left.join(own, [c, f"d{c}"])
+            # the rarest shingles come with the parities
+            own = [F.col(part).alias(f"t{c}"), *([] if k else [F.array(*_PARITIES).alias(f"p{c}")])]
+            left = left.join(sets.select(F.col("doc").alias(c), F.col("d").alias(f"d{c}"), *own).hint("merge"), [c, f"d{c}"])
+        left = left if k else left.where(100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
         left = left.select(*_PAIR, "both", "ra", "rb", "ta", "tb").mapInArrow(_overlaps, "a long, da long, b long, db long, na int, nb int, both int, ra int, rb int, here int, xa int, xb int")
         left = left.select(*_PAIR, F.expr("both + here").alias("both"), F.expr("ra - xa").alias("ra"), F.expr("rb - xb").alias("rb"))
         left = left.where(f"100 * (both + least(ra, rb)) >= {PERCENT} * (na + nb - both - least(ra, rb))")
         with common.arrow_rows(spark, 250):
             left = common.saved(left, f"{base}/partial{tag}{k}")
-        common.remove(spark, f"{base}/partial{tag}{k - 1}" if k else f"{base}/near{tag}")
+        if k:
+            common.remove(spark, f"{base}/partial{tag}{k - 1}")
     out = common.saved(left.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{base}/links{tag}")
     common.remove(spark, f"{base}/sets{tag}", f"{base}/partial{tag}{len(_PARTS) - 1}")
     common.release(spark)
@@ -371,7 +370,7 @@ def _joined(spark: SparkSession, docs: DataFrame, base: str) -> tuple[DataFrame,
     low = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
     low = common.saved(low, f"{base}/classes")
     copies = rows.where("n > 0").hint("merge").join(low, ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "d1", "rep")
-    copies = common.saved(common.saved(copies, f"{base}/members").distinct(), f"{base}/copies")
+    copies = common.saved(copies.distinct(), f"{base}/copies")
     pairs = common.saved(_of_classes(found.union(more).where("kind = 0").select(*_PAIR).distinct(), copies), f"{base}/pairs")
     links = _verified(spark, docs, pairs, cut, base, "1")
     copies_ = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
