@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS, MASS
@@ -14,6 +14,9 @@ from ionflow.functions import chemistry as C
 from ionflow.operators import kernel
 from ionflow.sources import tables
 
+#: Alike molecules that are taken together.
+ALIKE = 4096
+
 
 def windows(spectra: DataFrame, config: EngineConfig) -> DataFrame:
     """target and tol of each distinct (precursor_mz, adduct): the neutral masses within precursor_ppm of theory."""
@@ -89,12 +92,53 @@ def search_join(searches: DataFrame, config: EngineConfig, top: float) -> DataFr
     return x.where(F.exists("vector", lambda k: k > 0)).select("target", "tol", "vector", F.lit(False).alias("exceeded"))
 
 
+def twins(spectra: DataFrame) -> DataFrame:
+    """(molecule_id, masses, like, deal): like is the first of the molecules with the same precursors and adducts, whose candidates are its own too.
+
+    masses: spectrum_id, precursor_mz and shift of each spectrum, by spectrum_id.
+    deal: 0, or where many molecules are alike one of several numbers, so that
+    they spread over tasks. Written once.
+    """
+    own = F.array_sort(F.collect_list(F.struct("precursor_mz", "adduct"))).alias("key")
+    masses = F.array_sort(F.collect_list(F.struct("spectrum_id", "precursor_mz", "shift"))).alias("masses")
+    x = tables.materialize(spectra.where("molecule_id is not null").groupBy("molecule_id").agg(own, masses), "masses")
+    first = x.groupBy("key").agg(F.min("molecule_id").alias("like"), F.ceil(F.count("*") / ALIKE).alias("hands"))
+    deal = F.pmod(F.xxhash64("molecule_id"), "hands").cast("int").alias("deal")
+    return tables.materialize(x.join(first, "key").select("molecule_id", "masses", "like", deal), "twins")
+
+
+def lists(spectra: DataFrame, config: EngineConfig, search=search_kernel) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The molecules (as twins gives them), the candidates of each like as one array by pre_rank, and the molecules one of whose searches exceeds its limit.
+
+    Each distinct set of masses is searched, counted and ranked once. A list has max_candidates at most.
+    """
+    own = twins(spectra)
+    ids = own.where("molecule_id = like").select("molecule_id")
+    found, over = _searched(spectra.join(ids, "molecule_id", "left_semi"), config, search)
+    item = F.struct("pre_rank", *(c for c in found.columns if c not in ("molecule_id", "pre_rank")))
+    by = found.groupBy(F.col("molecule_id").alias("like")).agg(F.array_sort(F.collect_list(item)).alias("cands"))
+    over = own.join(over.withColumnRenamed("molecule_id", "like"), "like").select("molecule_id")
+    return own, tables.materialize(by, "candidates"), over
+
+
+def mass_errors(mass: Column, masses: Column) -> Column:
+    """Of one candidate: spectrum_id to the error in ppm."""
+    return F.map_from_entries(F.transform(masses, lambda s: F.struct(s["spectrum_id"], C.ppm(s["precursor_mz"], C.mz(mass, s["shift"])))))
+
+
 def candidates(spectra: DataFrame, config: EngineConfig, search=search_kernel) -> tuple[DataFrame, DataFrame]:
     """Ranked and capped candidates, and the molecules one of whose searches exceeds its limit.
 
     spectra: normalised, without repeats. Candidates: molecule_id, vector, formula,
     mass, support, mean_abs_ppm, n_spectra, pre_rank, total.
     """
+    own, by, over = lists(spectra, config, search)
+    x = own.join(by, "like").select("molecule_id", "masses", F.inline("cands"))
+    return x.withColumn("mass_errors_ppm", mass_errors(F.col("mass"), F.col("masses"))).drop("masses"), over
+
+
+def _searched(spectra: DataFrame, config: EngineConfig, search) -> tuple[DataFrame, DataFrame]:
+    """candidates of molecules of which no two are alike, without the errors of each spectrum."""
     keys = windows(spectra, config)
     hits = search(keys, config)
     found = keys.join(hits, ["target", "tol"])
@@ -103,7 +147,7 @@ def candidates(spectra: DataFrame, config: EngineConfig, search=search_kernel) -
     good = found.where(~F.col("exceeded")).where(C.feasible(C.ion_counts(F.col("vector"), F.col("delta")))).select("precursor_mz", "adduct", "vector")
     union = own.join(good, ["precursor_mz", "adduct"]).select("molecule_id", "vector").distinct().join(over, "molecule_id", "left_anti")
     union = union.withColumn("mass", C.exact_mass(F.col("vector")))
-    pairs = union.join(spectra.select("molecule_id", "spectrum_id", "precursor_mz", "shift", "delta"), "molecule_id")
+    pairs = union.join(spectra.select("molecule_id", "precursor_mz", "shift", "delta"), "molecule_id")
     error = C.ppm(F.col("precursor_mz"), C.mz(F.col("mass"), F.col("shift")))
     pairs = pairs.withColumn("ppm", error)
     pairs = pairs.withColumn("supports", (F.abs("ppm") <= config.precursor_ppm + 1e-6) & C.feasible(C.ion_counts(F.col("vector"), F.col("delta"))))
@@ -111,7 +155,6 @@ def candidates(spectra: DataFrame, config: EngineConfig, search=search_kernel) -
         F.count_if("supports").alias("support"),
         F.avg(F.abs("ppm")).alias("mean_abs_ppm"),
         F.count("*").alias("n_spectra"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("spectrum_id", "ppm")))).alias("mass_errors_ppm"),
     )
     by = by.withColumn("formula", C.format_formula(F.col("vector")))
     mol = W.partitionBy("molecule_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS
@@ -23,47 +23,150 @@ FEATURES = [f"count_{e}" for e in ELEMENTS] + ["dbe", "h_c", "hetero_c", "mass"]
 _EVIDENCE = PER_SPECTRUM[2:9]
 
 
+_OWN = PER_SPECTRUM[:9]
+_SUMMED = [f"{n}_{a}" for a in ("mean", "max", "min") for n in _OWN]
+#: Candidates times spectra whose numbers are held at once.
+_CELLS = 1 << 19
+#: Molecules with the same vectors that are taken together.
+_ALIKE = 1 << 14
+
+
+def _listed(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(molecule_id, like, deal) and (like, cands): each molecule's candidates as one array, its own."""
+    by = cands.groupBy("molecule_id").agg(F.collect_list(F.struct(*(c for c in cands.columns if c != "molecule_id"))).alias("cands"))
+    return cands.select("molecule_id").distinct().withColumns({"like": F.col("molecule_id"), "deal": F.lit(0)}), by.withColumnRenamed("molecule_id", "like")
+
+
+def _met(rows: DataFrame, own: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows, which have like and deal, with the lists; alike ones stand in one task, and as many tasks as there are partitions work on them."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lists.join(own.select("like", "deal").distinct(), "like")
+    return rows.repartition(parts, "like", "deal").join(dealt.repartition(parts, "like", "deal"), ["like", "deal"]).drop("deal")
+
+
 def evidence(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
-    """(molecule_id, vector, spectrum_id, the seven evidence columns, exceeded) for each candidate and spectrum.
+    """As evidence_of_lists, for candidates in rows (molecule_id, vector)."""
+    return evidence_of_lists(*_listed(cands.select("molecule_id", "vector")), spectra, config)
+
+
+def evidence_of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
+    """(molecule_id, spectrum_id, vector, feasible, the seven evidence columns, exceeded) for each candidate and spectrum.
 
-    A unit of work is a molecule's candidates (capped) with one of its spectra,
-    so that a molecule with many spectra spreads over tasks.
+    own, lists: as candidates.lists gives them. A unit of work is a molecule's
+    candidates (capped) with one of its spectra, so that a molecule with many
+    spectra spreads over tasks. feasible: whether no count of the ion is negative.
     """
-    tables.ship(cands.sparkSession)
+    tables.ship(spectra.sparkSession)
     da, ppm, most = config.fragment_da, config.fragment_ppm, config.max_search_results
 
-    own = spectra.select("molecule_id", "spectrum_id", "charge", "delta", F.transform("peaks", lambda p: p["mz"]).alias("mzs"), F.transform("peaks", lambda p: p["intensity"]).alias("powers"))
-    both = cands.groupBy("molecule_id").agg(F.collect_list("vector").alias("vectors")).join(own, "molecule_id")
-    names = ["molecule_id", "spectrum_id", "vector", *_EVIDENCE, "exceeded"]
+    rows = spectra.select("molecule_id", "spectrum_id", "charge", "delta", F.transform("peaks", lambda p: p["mz"]).alias("mzs"), F.transform("peaks", lambda p: p["intensity"]).alias("powers"))
+    # lists of the same vectors are one, in one order
+    vectors = lists.select(F.col("like").alias("of"), F.array_sort(F.transform("cands", lambda c: c["vector"])).alias("vectors"))
+    same = tables.materialize(vectors.groupBy("vectors").agg(F.min("of").alias("like"), F.collect_list("of").alias("of")), "vectors")
+    own = own.select("molecule_id", F.col("like").alias("of")).join(same.select("like", F.explode("of").alias("of")), "of")
+    own = own.join(own.groupBy("like").agg(F.ceil(F.count("*") / _ALIKE).alias("hands")), "like")
+    own = own.select("molecule_id", "like", F.pmod(F.xxhash64("molecule_id"), "hands").cast("int").alias("deal"))
+    both = _met(rows.join(own, "molecule_id"), own, same.select("like", "vectors"))
+    names = ["molecule_id", "spectrum_id", "vector", "feasible", *_EVIDENCE, "exceeded"]
 
     def kernel_rows(batches):
         for b in batches:
             column = {c: b.column(c) for c in b.schema.names}
-            for i in range(b.num_rows):
-                # the numbers of a row as they lie in the batch, without Python lists
-                own = column["vectors"].slice(i, 1).flatten()
-                n = len(own)
-                v = own.flatten().to_numpy().reshape(n, 10).astype(np.int64)
-                mzs, powers, delta = (column[c].slice(i, 1).flatten().to_numpy() for c in ("mzs", "powers", "delta"))
-                ions = np.concatenate([v, np.zeros((n, 2), np.int64)], axis=1) + delta
-                try:
-                    x, over = kernel.fragment_evidence(ions, mzs, powers, column["charge"][i].as_py(), da, ppm, most), False
-                except kernel.SearchLimit:
-                    x, over = np.zeros((n, 7)), True
-                ids = (pa.repeat(column[c][i], n) for c in ("molecule_id", "spectrum_id"))
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 10, pa.int32()), pa.array(v.astype(np.int32).ravel()))
-                yield pa.record_batch([*ids, vec, *(pa.array(x[:, k]) for k in range(7)), pa.array(np.full(n, over))], names=names)
-
-    shape = "molecule_id string, spectrum_id string, vector array<int>, " + ", ".join(f"{c} double" for c in _EVIDENCE) + ", exceeded boolean"
-    parts = max(1, int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return both.repartition(parts, "molecule_id", "spectrum_id").mapInArrow(kernel_rows, shape)
+            # the numbers as they lie in the batch, without Python lists
+            delta, charge = column["delta"].flatten().to_numpy().reshape(-1, 12).astype(np.int64), column["charge"].to_numpy()
+            peaks, mzs, powers = column["mzs"].offsets.to_numpy().astype(np.int64), column["mzs"].values.to_numpy(), column["powers"].values.to_numpy()
+            alike: dict = {}
+            for i, like in enumerate(column["like"].to_pylist()):
+                alike.setdefault((like, charge[i], delta[i].tobytes()), []).append(i)
+            for rows in alike.values():
+                v = column["vectors"].slice(rows[0], 1).flatten().flatten().to_numpy().reshape(-1, 10).astype(np.int64)
+                ions = np.concatenate([v, np.zeros((len(v), 2), np.int64)], axis=1) + delta[rows[0]]
+                known, step = kernel.fragments(ions, int(charge[rows[0]]), da, ppm, most), max(1, _CELLS // len(v))
+                for lo in range(0, len(rows), step):
+                    some = np.array(rows[lo : lo + step])
+                    sizes = np.diff(peaks)[some]
+                    at = _ranges(peaks[some], sizes)
+                    x, over = known.evidence(mzs[at], powers[at], sizes)
+                    x, n, m = x.reshape(-1, 7), len(v), len(some)
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1) * 10, pa.int32()), pa.array(np.tile(v.astype(np.int32).ravel(), m)))
+                    ids = (column[c].take(pa.array(np.repeat(some, n))) for c in ("molecule_id", "spectrum_id"))
+                    ok = np.tile((ions >= 0).all(axis=1), m)
+                    yield pa.record_batch([*ids, vec, pa.array(ok), *(pa.array(x[:, k]) for k in range(7)), pa.array(np.repeat(over, n))], names=names)
 
+    shape = "molecule_id string, spectrum_id string, vector array<int>, feasible boolean, " + ", ".join(f"{c} double" for c in _EVIDENCE) + ", exceeded boolean"
+    return both.mapInArrow(kernel_rows, shape)
 
-def extract(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
-    """cands with 74 feature columns and exceeded: whether a fragment search passed its limit."""
-    ev = evidence(cands, spectra, config)
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class _Numbers:
+    """The nested arrays of an Arrow batch of molecules as flat numpy arrays."""
+
+    def __init__(self, b: pa.RecordBatch):
+        cands, own = b.column("cands"), b.column("own")
+        self.cands, self.spectra = cands.offsets.to_numpy().astype(np.int64), own.offsets.to_numpy().astype(np.int64)
+        each = cands.values
+        self.vector, self.mass = each.field("vector").flatten().to_numpy().reshape(-1, 10).astype(np.int64), each.field("mass").to_numpy(zero_copy_only=False)
+        of = {c: own.values.field(c) for c in ("precursor_mz", "shift", "charge", "delta", "mzs", "powers")}
+        self.precursor, self.shift, self.charge = (of[c].to_numpy(zero_copy_only=False) for c in ("precursor_mz", "shift", "charge"))
+        self.delta = of["delta"].flatten().to_numpy().reshape(-1, 12).astype(np.int64)
+        self.peaks = of["mzs"].offsets.to_numpy().astype(np.int64)
+        self.mzs, self.powers = of["mzs"].values.to_numpy(zero_copy_only=False), of["powers"].values.to_numpy(zero_copy_only=False)
+
+
+def _summaries(x: _Numbers, rows: np.ndarray, config: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(molecules x candidates x 27, exceeded) of molecules with the same candidates: mean, max and min of nine numbers over their spectra."""
+    at = slice(x.cands[rows[0]], x.cands[rows[0] + 1])
+    vector, mass = np.concatenate([x.vector[at], np.zeros((at.stop - at.start, 2), np.int64)], axis=1), x.mass[at]
+    # in one order, so that others with the same vectors find them known
+    order = np.lexsort(vector.T)
+    vector, mass = vector[order], mass[order]
+    n, counts = len(mass), np.diff(x.spectra)[rows]
+    spectra, of = _ranges(x.spectra[rows], counts), np.repeat(np.arange(len(rows)), counts)
+    total, most, least = np.zeros((len(rows), n, 9)), np.full((len(rows), n, 9), -np.inf), np.full((len(rows), n, 9), np.inf)
+    exceeded = np.zeros(len(rows), bool)
+    step = max(1, _CELLS // max(1, n))
+    for lo in range(0, len(spectra), step):
+        some, to = spectra[lo : lo + step], of[lo : lo + step]
+        own, out = np.empty((len(some), n, 9)), np.zeros(len(some), bool)
+        expected = mass + x.shift[some, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            error = np.abs((x.precursor[some, None] - expected) / expected * 1e6)
+        own[:, :, 0] = np.fmin(error, 1e6)
+        kinds, kind = np.unique(np.concatenate([x.charge[some, None], x.delta[some]], axis=1).astype(np.int64), axis=0, return_inverse=True)
+        for k in range(len(kinds)):
+            here = np.flatnonzero(kind.ravel() == k)
+            ions = vector + kinds[k, 1:]
+            own[here, :, 1] = (error[here] <= config.precursor_ppm + 1e-6) & (ions >= 0).all(axis=1)
+            sizes = np.diff(x.peaks)[some[here]]
+            peaks = _ranges(x.peaks[some[here]], sizes)
+            known = kernel.fragments(ions, int(kinds[k, 0]), config.fragment_da, config.fragment_ppm, config.max_search_results)
+            own[here, :, 2:], out[here] = known.evidence(x.mzs[peaks], x.powers[peaks], sizes)
+        starts = np.flatnonzero(np.diff(to, prepend=-1))
+        to = to[starts]
+        total[to] += np.add.reduceat(own, starts, axis=0)
+        most[to] = np.maximum(most[to], np.maximum.reduceat(own, starts, axis=0))
+        least[to] = np.minimum(least[to], np.minimum.reduceat(own, starts, axis=0))
+        exceeded[to] |= np.logical_or.reduceat(out, starts)
+    out = np.empty((len(rows), n, 27))
+    out[:, order] = np.concatenate([total / counts[:, None, None], most, least], axis=2)
+    return out, exceeded
+
+
+def of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
+    """A row a molecule: what own has of it, cands, evidence (27 numbers of each of cands, in their order), exceeded, and 33 numbers of its spectra.
+
+    own, lists: as candidates.lists gives them. Only spectra are shuffled: the
+    candidates of alike molecules meet them once, and nothing is joined by candidate.
+    """
+    tables.ship(spectra.sparkSession)
     meta = spectra.select(
-        "molecule_id", "spectrum_id", "precursor_mz", "shift", "delta",
+        "molecule_id",
+        F.struct("precursor_mz", "shift", "charge", "delta", F.transform("peaks", lambda p: p["mz"]).alias("mzs"), F.transform("peaks", lambda p: p["intensity"]).alias("powers")).alias("own"),
         F.log1p(F.size("peaks").cast("double")).alias("log_peak_count"),
         (F.col("charge") > 0).cast("double").alias("positive"),
         *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ce_mean", "ce_min", "ce_max")),
@@ -74,13 +177,43 @@ def extract(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataF
         F.coalesce(F.lower("instrument_type").contains("orbitrap"), F.lit(False)).cast("double").alias("orbitrap"),
         (F.coalesce("instrument_type", F.lit("")) == "").cast("double").alias("instrument_missing"),
     )
-    rows = cands.select("molecule_id", "vector", "mass").join(ev, ["molecule_id", "vector"]).join(meta, ["molecule_id", "spectrum_id"])
-    error = C.ppm(F.col("precursor_mz"), C.mz(F.col("mass"), F.col("shift")))
-    rows = rows.withColumn("abs_ppm", F.least(F.abs(error), F.lit(1e6)))
-    rows = rows.withColumn("supported", ((F.abs(error) <= config.precursor_ppm + 1e-6) & C.feasible(C.ion_counts(F.col("vector"), F.col("delta")))).cast("double"))
-    aggs = [f(c).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min)) for c in PER_SPECTRUM]
-    per = rows.groupBy("molecule_id", "vector").agg(*aggs, F.max("exceeded").alias("exceeded"))
+    aggs = [f(c).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min)) for c in PER_SPECTRUM[9:]]
+    x = _met(own.join(meta.groupBy("molecule_id").agg(*aggs, F.collect_list("own").alias("own")), "molecule_id"), own, lists)
+    kept = [c for c in x.columns if c not in ("like", "own")]
+
+    def run(batches):
+        for b in batches:
+            x = _Numbers(b)
+            # some of the rows at a time: their numbers are far more than the rows
+            cells, lo = x.cands - x.cands[0], 0
+            like = b.column("like").to_pylist()
+            while lo < b.num_rows:
+                to = max(lo + 1, int(np.searchsorted(cells, cells[lo] + _CELLS, "right")) - 1)
+                alike = {}
+                for i in range(lo, to):
+                    alike.setdefault(like[i], []).append(i)
+                ends = x.cands[lo : to + 1] - x.cands[lo]
+                out, over = np.empty((ends[-1], 27)), np.zeros(to - lo, bool)
+                for rows in map(np.array, alike.values()):
+                    own, over[rows - lo] = _summaries(x, rows, config)
+                    out[_ranges(ends[rows - lo], np.diff(ends)[rows - lo])] = own.reshape(-1, 27)
+                each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(27)], names=_SUMMED))
+                yield pa.record_batch([*(b.column(c).slice(lo, to - lo) for c in kept), each, pa.array(over)], names=[*kept, "evidence", "exceeded"])
+                lo = to
+
+    shape = T.StructType([*(x.schema[c] for c in kept), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _SUMMED]))), T.StructField("exceeded", T.BooleanType())])
+    return x.mapInArrow(run, shape)
+
+
+def rows_of(molecules: DataFrame) -> DataFrame:
+    """What of_lists gives as a row a candidate, with 74 feature columns and exceeded."""
+    rest = [c for c in molecules.columns if c not in ("cands", "evidence")]
+    out = molecules.select(*rest, F.inline(F.arrays_zip("cands", "evidence"))).select(*rest, "cands.*", "evidence.*")
     h_c, hetero = C.ratios(F.col("vector"))
-    out = cands.join(per, ["molecule_id", "vector"])
     out = out.withColumns({f"count_{e}": F.element_at("vector", k + 1).cast("double") for k, e in enumerate(ELEMENTS)})
     return out.withColumns({"dbe": C.dbe(F.col("vector")), "h_c": h_c, "hetero_c": hetero})
+
+
+def extract(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
+    """cands with 74 feature columns and exceeded: whether a fragment search passed its limit."""
+    return rows_of(of_lists(*_listed(cands), spectra, config))

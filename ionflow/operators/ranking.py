@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ionflow.functions.hashing import seed_for
 from ionflow.operators.features import FEATURES
@@ -21,6 +21,18 @@ def baseline(cands: DataFrame) -> DataFrame:
     return out.withColumn("score", (F.count("*").over(_molecule()) - F.col("rank") + 1).cast("double"))
 
 
+def baseline_lists(molecules: DataFrame) -> DataFrame:
+    """The order of baseline for molecules with cands and evidence (features.of_lists): ranked has the candidates, the first of rank 1.
+
+    Of a candidate ranked has the formula, and all of it as cand; no row of a candidate is shuffled.
+    """
+    def key(z: Column) -> Column:
+        c, e = z["cands"], z["evidence"]
+        return F.struct((-c["support"]).alias("a"), (-F.round(e["intensity_fraction_mean"], 9)).alias("b"), F.round(c["mean_abs_ppm"], 9).alias("c"), c["formula"].alias("formula"), c.alias("cand"))
+
+    return molecules.withColumn("ranked", F.array_sort(F.transform(F.arrays_zip("cands", "evidence"), key))).drop("cands", "evidence")
+
+
 def mass_only(cands: DataFrame) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(_molecule().orderBy(F.desc("support"), F.round("mean_abs_ppm", 9), "formula")))
 
@@ -69,6 +81,36 @@ def training_rows(ranked: DataFrame, truth: DataFrame, seed: int, hard: int = 12
     return x.groupBy("molecule_id").applyInArrow(pick, shape)
 
 
+def training_lists(molecules: DataFrame, lists: DataFrame, seed: int, hard: int = 127, others: int = 128) -> DataFrame:
+    """As training_rows, in the order of mass_only, which is that of lists: molecules (molecule_id, like, truth) with candidates.lists.
+
+    (molecule_id, formula, rank, label). What is drawn depends on how many there
+    are and on the molecule; only where some are left out a task draws.
+    """
+    tables.ship(lists.sparkSession)
+    formulas = lists.select("like", F.transform("cands", lambda c: c["formula"]).alias("formulas"))
+    x = molecules.select("molecule_id", "like", "truth").join(formulas, "like").drop("like")
+    at = F.array_position("formulas", F.col("truth")).cast("int")
+    x = x.withColumn("at", at).where("at > 0 and size(formulas) > 1").drop("truth")
+
+    def draw(batches):
+        for b in batches:
+            ids, n, at = (b.column(c).to_pylist() for c in ("molecule_id", "n", "at"))
+            kept = []
+            for molecule, k, own in zip(ids, n, at):
+                wrong = np.delete(np.arange(1, k + 1), own - 1)
+                rest = wrong[hard:]
+                some = np.random.default_rng(seed_for(f"{seed}:{molecule}")).choice(rest, size=min(others, len(rest)), replace=False)
+                kept.append(np.concatenate([[own], wrong[:hard], some]).astype(np.int32))
+            yield pa.record_batch([*b.columns, pa.array(kept, pa.list_(pa.int32()))], names=[*b.schema.names, "kept"])
+
+    few = x.where(F.size("formulas") <= 1 + hard + others).withColumn("kept", F.sequence(F.lit(1), F.size("formulas")))
+    many = x.where(F.size("formulas") > 1 + hard + others).withColumn("n", F.size("formulas"))
+    many = many.mapInArrow(draw, T.StructType([*many.schema, T.StructField("kept", T.ArrayType(T.IntegerType()))])).drop("n")
+    x = few.unionByName(many).select("molecule_id", "at", "formulas", F.explode("kept").alias("rank"))
+    return x.select("molecule_id", F.element_at("formulas", F.col("rank")).alias("formula"), "rank", (F.col("rank") == F.col("at")).cast("int").alias("label"))
+
+
 class Tree:
     """A regression tree over binned features, as flat arrays; gain of each split and rows of each node as it was grown."""
 

@@ -353,8 +353,10 @@ def q_fragment_evidence(spark, sf_dir):
     c, x = _cands(spark, sf_dir)
     x = x.withColumn("spectrum_id", F.col("row_ord").cast("string"))
     raw = S.clean_peaks(S.merged_peaks(F.col("ms2_mzs"), F.col("ms2_normalized_intensities")), config)
-    e = feat.evidence(c, x.withColumn("peaks", raw), config).where("not exceeded")
-    e = e.join(x.select("molecule_id", "spectrum_id", "delta"), ["molecule_id", "spectrum_id"]).where(C.feasible(C.ion_counts(F.col("vector"), F.col("delta"))))
+    x = _all(spark, sf_dir, SMALL).select("molecule_id", F.col("row_ord").cast("string").alias("spectrum_id"), "precursor_mz", "adduct", "shift", "charge", "delta", raw.alias("peaks"))
+    x = tables.materialize(x, "spectra")
+    own, lists, _ = cand.lists(x, SMALL)
+    e = feat.evidence_of_lists(own, lists, x, config).where("feasible and not exceeded")
     return e.select("molecule_id", F.col("spectrum_id").cast("long").alias("row_ord"), *(F.element_at("vector", k + 1).alias(n) for k, n in enumerate("chno")), *(_r(n, 6 if n == "fragment_error_fraction" else 9).alias(n) for n in feat.PER_SPECTRUM[2:9]))
 
 
