@@ -657,10 +657,12 @@ def _predicted(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    """Candidates of every molecule within the engine's own limits, the spectra and the settings."""
+    """Molecules with their candidates within the engine's own limits and what features are made of."""
     config = EngineConfig()
-    x = _all(spark, sf_dir, config)
-    return cand.candidates(x, config)[0], x, config
+    # read by the searches and by each molecule's evidence
+    x = tables.materialize(_all(spark, sf_dir, config).drop("ms2_mzs", "ms2_normalized_intensities"), "spectra")
+    own, lists, _ = cand.lists(x, config)
+    return feat.of_lists(own.select("molecule_id", "like", "deal"), lists, x, config)
 
 
 @query()
@@ -671,20 +673,20 @@ def q_predict(spark, sf_dir):
 
 @query()
 def q_features(spark, sf_dir):
-    c, x, config = _whole(spark, sf_dir)
-    return feat.extract(c, x, config).select("molecule_id", "formula", *(_r(n).alias(n) for n in feat.FEATURES))
+    return feat.rows_of(_whole(spark, sf_dir)).select("molecule_id", "formula", *(_r(n).alias(n) for n in feat.FEATURES))
 
 
 @query()
 def q_baseline_rank(spark, sf_dir):
-    c, x, config = _whole(spark, sf_dir)
-    return ranking.baseline(feat.extract(c, x, config)).select("molecule_id", "formula", "rank", "score")
+    best = ranking.baseline_lists(_whole(spark, sf_dir))
+    x = best.select("molecule_id", F.size("ranked").alias("n"), F.posexplode("ranked").alias("at", "c"))
+    return x.select("molecule_id", "c.formula", (F.col("at") + 1).alias("rank"), (F.col("n") - F.col("at")).cast("double").alias("score"))
 
 
 @query()
 def q_training_rows(spark, sf_dir):
-    c = _whole(spark, sf_dir)[0]
-    r = ranking.mass_only(c).select("molecule_id", "formula", "rank")
+    config = EngineConfig()
+    own, lists, _ = cand.lists(_all(spark, sf_dir, config).select("molecule_id", "spectrum_id", "precursor_mz", "adduct", "shift", "delta"), config)
     truth = derived.spectra(spark, sf_dir).select("molecule_id", F.col("molecular_formula").alias("formula")).distinct().groupBy("molecule_id").agg(F.min("formula").alias("formula"))
     return ranking.training_rows(r, truth, 42)
 
