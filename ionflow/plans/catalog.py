@@ -688,7 +688,8 @@ def q_training_rows(spark, sf_dir):
     config = EngineConfig()
     own, lists, _ = cand.lists(_all(spark, sf_dir, config).select("molecule_id", "spectrum_id", "precursor_mz", "adduct", "shift", "delta"), config)
     truth = derived.spectra(spark, sf_dir).select("molecule_id", F.col("molecular_formula").alias("formula")).distinct().groupBy("molecule_id").agg(F.min("formula").alias("formula"))
-    return ranking.training_rows(r, truth, 42)
+    x = ranking.training_lists(own.join(truth.withColumnRenamed("formula", "truth"), "molecule_id"), lists, 42)
+    return x.select("molecule_id", "formula", "rank", "label")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
