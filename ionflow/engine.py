@@ -57,15 +57,46 @@ class FormulaEngine:
         good = S.drop_repeats(norm.join(failed.select("molecule_id"), "molecule_id", "left_anti"))
         return good, failed
 
-    def candidate_features(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Candidates with features, spectra that count, and failed molecules (molecule_id, status, message)."""
+    def _molecules(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Molecules with candidates and evidence, spectra that count, failed molecules, and those over a search limit."""
         # read by the searches, the support and each spectrum's evidence
         spectra, failed = self.used(tables.materialize(self.normalized(rows), "spectra"))
-        found, over = cand.candidates(spectra, self.config, self.search)
-        x = tables.materialize(feat.extract(tables.materialize(found, "candidates"), spectra, self.config), "features")
+        own, lists, over = cand.lists(spectra, self.config, self.search)
+        return feat.of_lists(own, lists, spectra, self.config), spectra, failed, over
+
+    def _limited(self, ids: DataFrame) -> DataFrame:
+        return ids.select("molecule_id", F.lit("resource_limit").alias("status"), F.lit(f"search exceeds {self.config.max_search_results} results").alias("message"))
+
+    def candidate_features(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Candidates with features, spectra that count, and failed molecules (molecule_id, status, message)."""
+        x, spectra, failed, over = self._molecules(rows)
+        x = feat.rows_of(x).withColumn("mass_errors_ppm", cand.mass_errors(F.col("mass"), F.col("masses"))).drop("masses")
+        x = tables.materialize(x, "features")
         late = x.where("exceeded").select("molecule_id").union(over).distinct()
-        limit = late.select("molecule_id", F.lit("resource_limit").alias("status"), F.lit(f"search exceeds {self.config.max_search_results} results").alias("message"))
-        return x.where("not exceeded").drop("exceeded").join(late, "molecule_id", "left_anti"), spectra, failed.unionByName(limit)
+        return x.where("not exceeded").drop("exceeded").join(late, "molecule_id", "left_anti"), spectra, failed.unionByName(self._limited(late))
+
+    def _best(self, rows: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(molecule_id, candidates: the best, total, any_full), spectra that count, and failed molecules."""
+        if self.model is not None:
+            x, spectra, failed = self.candidate_features(rows)
+            item = F.struct(F.col("rank").cast("int").alias("rank"), "formula", F.col("mass").alias("exact_mass"), "score", "mass_errors_ppm", F.col("support").cast("int").alias("supporting_spectra"))
+            per = self.ranked(x).where(F.col("rank") <= top_k).groupBy("molecule_id").agg(
+                F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("candidates"), F.max("total").alias("total"), F.max("any_full").alias("any_full")
+            )
+            return per, spectra, failed
+        x, spectra, failed, over = self._molecules(rows)
+        x = ranking.baseline_lists(x)
+        n, first = F.size("ranked"), F.col("ranked")[0]["cand"]
+
+        def item(c, k):
+            mass = c["cand"]["mass"]
+            return F.struct((k + 1).alias("rank"), c["formula"].alias("formula"), mass.alias("exact_mass"), (n - k).cast("double").alias("score"), cand.mass_errors(mass, F.col("masses")).alias("mass_errors_ppm"), c["cand"]["support"].cast("int").alias("supporting_spectra"))
+
+        # a row a molecule: the rows of candidates are never made
+        x = x.select("molecule_id", "exceeded", F.transform(F.slice("ranked", 1, top_k), item).alias("candidates"), first["total"].alias("total"), first["any_full"].alias("any_full"))
+        x = tables.materialize(x, "best")
+        late = x.where("exceeded").select("molecule_id").union(over).distinct()
+        return x.where("not exceeded").drop("exceeded"), spectra, failed.unionByName(self._limited(late))
 
     def ranked(self, x: DataFrame) -> DataFrame:
         return ranking.baseline(x) if self.model is None else ranking.by_score(ranking.scored(x, self.model))
@@ -74,12 +105,7 @@ class FormulaEngine:
         """One prediction a molecule, failed ones too."""
         if type(top_k) is not int or top_k < 1:
             raise ValueError("top_k must be a positive integer")
-        x, spectra, failed = self.candidate_features(rows)
-        top = self.ranked(x).where((F.col("rank") <= top_k) | (F.col("rank") == 1))
-        item = F.struct(F.col("rank").cast("int").alias("rank"), "formula", F.col("mass").alias("exact_mass"), "score", "mass_errors_ppm", F.col("support").cast("int").alias("supporting_spectra"))
-        per = top.groupBy("molecule_id").agg(
-            F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("candidates"), F.max("total").alias("total"), F.max("n_spectra").alias("n"), F.max("any_full").alias("any_full")
-        )
+        per, spectra, failed = self._best(rows, top_k)
         few = F.transform(F.array_sort(F.collect_list(F.when(F.size("peaks") < 5, F.struct("row_ord", "spectrum_id")))), lambda s: F.concat(s["spectrum_id"], F.lit(": insufficient fragment evidence")))
         base = spectra.groupBy("molecule_id").agg(F.count("*").alias("spectra_used"), few.alias("few")).join(failed.select("molecule_id"), "molecule_id", "left_anti")
         total = F.coalesce("total", F.lit(0))
