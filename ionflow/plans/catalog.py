@@ -350,8 +350,6 @@ _LOST = {"water": "0,2,0,1,false", "co": "1,0,0,1,false", "co2": "1,0,0,2,false"
     + " FROM valid v LEFT JOIN mt ON v.row_ord = mt.row_ord AND v.c = mt.c AND v.h = mt.h AND v.n = mt.n AND v.o = mt.o LEFT JOIN sm ON sm.row_ord = v.row_ord GROUP BY 1, 2, 3, 4, 5, 6")
 def q_fragment_evidence(spark, sf_dir):
     config = EngineConfig(element_limits=SMALL.element_limits, fragment_da=0.5)
-    c, x = _cands(spark, sf_dir)
-    x = x.withColumn("spectrum_id", F.col("row_ord").cast("string"))
     raw = S.clean_peaks(S.merged_peaks(F.col("ms2_mzs"), F.col("ms2_normalized_intensities")), config)
     x = _all(spark, sf_dir, SMALL).select("molecule_id", F.col("row_ord").cast("string").alias("spectrum_id"), "precursor_mz", "adduct", "shift", "charge", "delta", raw.alias("peaks"))
     x = tables.materialize(x, "spectra")
