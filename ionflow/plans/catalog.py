@@ -481,8 +481,8 @@ def q_first_groups(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS q05, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.95), 4) AS q95 FROM lineitem")
 def q_quantiles(spark, sf_dir):
-    x = _table(spark, sf_dir, "lineitem").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return x.select(*(_r(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
+    x = quantiles.linear(_table(spark, sf_dir, "lineitem"), [], "l_extendedprice", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    return _rounded(x, x.columns)
 
 
 @query("SELECT p_name AS name, round(p_retailprice, 4) AS mrr25, p_size AS top1, p_partkey % 50 AS trees FROM part ORDER BY p_retailprice DESC, p_size DESC, p_partkey % 50, p_name LIMIT 1")
