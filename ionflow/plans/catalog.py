@@ -88,9 +88,12 @@ def q_formula_format(spark, sf_dir):
 
 @query(_MADE + f"SELECT p_partkey, round(c * {MASS['C']!r} + h * {MASS['H']!r}::DOUBLE + n * {MASS['N']!r}::DOUBLE + o * {MASS['O']!r}::DOUBLE + cl * {MASS['Cl']!r}::DOUBLE, 6) AS mass, (1 + c + (n - h - cl) / 2.0)::DOUBLE AS dbe, round(h::DOUBLE / greatest(c, 1), 6) AS h_c, round((n + o + cl)::DOUBLE / greatest(c, 1), 6) AS hetero_c FROM t WHERE NOT bad")
 def q_formula_descriptors(spark, sf_dir):
-    x = _made(spark, sf_dir).withColumn("v", C.parse_formula(F.col("text"))).where("v is not null")
+    made = _made(spark, sf_dir)
+    # each distinct text is parsed once; written, since the optimizer would repeat the parsing in every place that reads it
+    v = tables.materialize(made.select("text").distinct().withColumn("v", C.parse_formula(F.col("text"))).where("v is not null"), "parsed")
     h_c, hetero = C.ratios(F.col("v"))
-    return x.select("p_partkey", _r(C.exact_mass(F.col("v"))).alias("mass"), C.dbe(F.col("v")).alias("dbe"), _r(h_c).alias("h_c"), _r(hetero).alias("hetero_c"))
+    each = v.select("text", _r(C.exact_mass(F.col("v"))).alias("mass"), C.dbe(F.col("v")).alias("dbe"), _r(h_c).alias("h_c"), _r(hetero).alias("hetero_c"))
+    return made.join(each, "text").select("p_partkey", "mass", "dbe", "h_c", "hetero_c")
 
 
 @query(D + f"SELECT DISTINCT molecular_formula, adduct, charge, round(label_mass + shift, 6) AS mz, round(label_mass, 6) AS neutral, NOT ({derived.INFEASIBLE}) AS feasible FROM spec WHERE f <> 4 AND a <> 10")
