@@ -34,23 +34,35 @@ def problem() -> tuple[Column, Column]:
     return status, message
 
 
+def _once(x: Column, of) -> Column:
+    """of(x) with x computed once: the optimizer would repeat it in each place that reads it."""
+    return F.transform(F.array(x), of)[0]
+
+
 def merged_peaks(mzs: Column, ints: Column) -> Column:
     """Peaks by m/z, intensities of equal m/z added up."""
     peaks = F.arrays_zip(mzs.alias("mz"), ints.alias("intensity"))
-    once = F.array_distinct(mzs)
-    summed = F.transform(F.array_sort(once), lambda m: F.struct(m.alias("mz"), F.aggregate(F.filter(peaks, lambda p: p["mz"] == m), F.lit(0.0), lambda a, p: a + p["intensity"]).alias("intensity")))
-    return F.when(F.size(once) == F.size(mzs), F.array_sort(peaks)).otherwise(summed)
+
+    def summed(once):
+        return F.transform(F.array_sort(once), lambda m: F.struct(m.alias("mz"), F.aggregate(F.filter(peaks, lambda p: p["mz"] == m), F.lit(0.0), lambda a, p: a + p["intensity"]).alias("intensity")))
+
+    return _once(F.array_distinct(mzs), lambda once: F.when(F.size(once) == F.size(mzs), F.array_sort(peaks)).otherwise(summed(once)))
 
 
 def clean_peaks(peaks: Column, config: EngineConfig) -> Column:
     """Scaled to the base peak, weak ones dropped, the strongest max_peaks kept in order of m/z."""
-    top = F.array_max(F.transform(peaks, lambda p: p["intensity"]))
-    scaled = F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), (p["intensity"] / top).alias("intensity")))
-    strong = F.filter(scaled, lambda p: (p["intensity"] >= config.intensity_floor) & (p["intensity"] > 0))
-    by_power = F.array_sort(F.transform(strong, lambda p: F.struct((-p["intensity"]).alias("i"), p["mz"].alias("mz"))))
-    best = F.array_sort(F.transform(F.slice(by_power, 1, config.max_peaks), lambda p: F.struct(p["mz"].alias("mz"), (-p["i"]).alias("intensity"))))
     none = F.array().cast("array<struct<mz:double,intensity:double>>")
-    return F.when(F.coalesce(top, F.lit(0.0)) <= 0, none).when(F.size(strong) <= config.max_peaks, strong).otherwise(best)
+
+    def best(strong):
+        by_power = F.array_sort(F.transform(strong, lambda p: F.struct((-p["intensity"]).alias("i"), p["mz"].alias("mz"))))
+        return F.array_sort(F.transform(F.slice(by_power, 1, config.max_peaks), lambda p: F.struct(p["mz"].alias("mz"), (-p["i"]).alias("intensity"))))
+
+    def cleaned(own, top):
+        scaled = F.transform(own, lambda p: F.struct(p["mz"].alias("mz"), (p["intensity"] / top).alias("intensity")))
+        strong = F.filter(scaled, lambda p: (p["intensity"] >= config.intensity_floor) & (p["intensity"] > 0))
+        return F.when(F.coalesce(top, F.lit(0.0)) <= 0, none).otherwise(_once(strong, lambda s: F.when(F.size(s) <= config.max_peaks, s).otherwise(best(s))))
+
+    return _once(peaks, lambda own: _once(F.array_max(F.transform(own, lambda p: p["intensity"])), lambda top: cleaned(own, top)))
 
 
 def normalize(rows: DataFrame, config: EngineConfig) -> DataFrame:
