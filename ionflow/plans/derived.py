@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionflow.constants import ADDUCTS, shift
 from ionflow.functions import chemistry as C
+from ionflow.sources import files
 
 #: Labels by molecule; the last is none.
 FORMULAS = ("C6H12O6", "C5H10O5", "C9H8O4", "C2H6O", "C6H13O6+")
@@ -26,8 +27,9 @@ def _pick(k, values, kind):
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw library rows with row_ord."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    peak = F.struct("l_linenumber", "l_partkey", "l_quantity", (F.lit(40) + F.col("l_partkey") % 120).cast("double").alias("mz"), (F.col("l_quantity") / F.lit(50.0)).alias("i"))
+    # peaks stand in the table's order, in which intensities of equal m/z are then added
+    line = files.numbered(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    peak = F.struct("row_ord", (F.lit(40) + F.col("l_partkey") % 120).cast("double").alias("mz"), (F.col("l_quantity") / F.lit(50.0)).alias("i"))
     peaks = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(peak)).alias("p"))
     k = F.col("o_orderkey")
     o = o.withColumn("g", F.floor(k / 4).cast("long"))

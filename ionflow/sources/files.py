@@ -96,7 +96,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     # a row a file
     sizes = rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__n"))
     before = sizes.select("__file", (F.sum("__n").over(W.orderBy("__file")) - F.col("__n")).alias("__before"))
-    return at.join(before, "__file").withColumn("row_ord", F.col("__at") + F.col("__before")).drop("__at", "__file", "__before")
+    return at.join(F.broadcast(before), "__file").withColumn("row_ord", F.col("__at") + F.col("__before")).drop("__at", "__file", "__before")
 
 
 def with_row_index(spark: SparkSession, path: str) -> DataFrame:
