@@ -15,7 +15,7 @@ from ionflow.operators import kernel
 from ionflow.sources import tables
 
 #: Alike molecules that are taken together.
-ALIKE = 4096
+ALIKE = 256
 
 
 def windows(spectra: DataFrame, config: EngineConfig) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ionflow.config import EngineConfig
 from ionflow.constants import ELEMENTS
@@ -25,8 +25,9 @@ _EVIDENCE = PER_SPECTRUM[2:9]
 
 _OWN = PER_SPECTRUM[:9]
 _SUMMED = [f"{n}_{a}" for a in ("mean", "max", "min") for n in _OWN]
+_OF_SPECTRA = [f"{n}_{a}" for a in ("mean", "max", "min") for n in PER_SPECTRUM[9:]]
 #: Candidates times spectra whose numbers are held at once.
-_CELLS = 1 << 19
+_CELLS = 1 << 17
 #: Molecules with the same vectors that are taken together.
 _ALIKE = 1 << 14
 
@@ -37,11 +38,11 @@ def _listed(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cands.select("molecule_id").distinct().withColumns({"like": F.col("molecule_id"), "deal": F.lit(0)}), by.withColumnRenamed("molecule_id", "like")
 
 
-def _met(rows: DataFrame, own: DataFrame, lists: DataFrame) -> DataFrame:
-    """rows, which have like and deal, with the lists; alike ones stand in one task, and as many tasks as there are partitions work on them."""
+def _met(rows: DataFrame, own: DataFrame, lists: DataFrame, grouped=lambda x: x) -> DataFrame:
+    """rows, which have like and deal, grouped and with the lists; alike ones stand in one task, and as many tasks as there are partitions work on them."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = lists.join(own.select("like", "deal").distinct(), "like")
-    return rows.repartition(parts, "like", "deal").join(dealt.repartition(parts, "like", "deal"), ["like", "deal"]).drop("deal")
+    return grouped(rows.repartition(parts, "like", "deal")).join(dealt.repartition(parts, "like", "deal"), ["like", "deal"]).drop("deal")
 
 
 def evidence(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
@@ -104,13 +105,15 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Numbers:
-    """The nested arrays of an Arrow batch of molecules as flat numpy arrays."""
+    """The nested arrays of an Arrow batch of groups of alike molecules as flat numpy arrays."""
 
     def __init__(self, b: pa.RecordBatch):
-        cands, own = b.column("cands"), b.column("own")
-        self.cands, self.spectra = cands.offsets.to_numpy().astype(np.int64), own.offsets.to_numpy().astype(np.int64)
-        each = cands.values
-        self.vector, self.mass = each.field("vector").flatten().to_numpy().reshape(-1, 10).astype(np.int64), each.field("mass").to_numpy(zero_copy_only=False)
+        cands, molecules = b.column("cands"), b.column("molecules")
+        self.cands, self.molecules = cands.offsets.to_numpy().astype(np.int64), molecules.offsets.to_numpy().astype(np.int64)
+        self.each, self.of = cands.values, molecules.values
+        self.vector, self.mass = self.each.field("vector").flatten().to_numpy().reshape(-1, 10).astype(np.int64), self.each.field("mass").to_numpy(zero_copy_only=False)
+        own = self.of.field("own")
+        self.spectra = own.offsets.to_numpy().astype(np.int64)
         of = {c: own.values.field(c) for c in ("precursor_mz", "shift", "charge", "delta", "mzs", "powers")}
         self.precursor, self.shift, self.charge = (of[c].to_numpy(zero_copy_only=False) for c in ("precursor_mz", "shift", "charge"))
         self.delta = of["delta"].flatten().to_numpy().reshape(-1, 12).astype(np.int64)
@@ -118,51 +121,50 @@ class _Numbers:
         self.mzs, self.powers = of["mzs"].values.to_numpy(zero_copy_only=False), of["powers"].values.to_numpy(zero_copy_only=False)
 
 
-def _summaries(x: _Numbers, rows: np.ndarray, config: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(molecules x candidates x 27, exceeded) of molecules with the same candidates: mean, max and min of nine numbers over their spectra."""
-    at = slice(x.cands[rows[0]], x.cands[rows[0] + 1])
-    vector, mass = np.concatenate([x.vector[at], np.zeros((at.stop - at.start, 2), np.int64)], axis=1), x.mass[at]
+def _summaries(x: _Numbers, cands: slice, molecules: slice, config: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(27 x molecules x candidates, exceeded) of molecules with the same candidates: mean, max and min of nine numbers over their spectra."""
+    vector, mass = np.concatenate([x.vector[cands], np.zeros((cands.stop - cands.start, 2), np.int64)], axis=1), x.mass[cands]
     # in one order, so that others with the same vectors find them known
     order = np.lexsort(vector.T)
     vector, mass = vector[order], mass[order]
-    n, counts = len(mass), np.diff(x.spectra)[rows]
-    spectra, of = _ranges(x.spectra[rows], counts), np.repeat(np.arange(len(rows)), counts)
-    total, most, least = np.zeros((len(rows), n, 9)), np.full((len(rows), n, 9), -np.inf), np.full((len(rows), n, 9), np.inf)
-    exceeded = np.zeros(len(rows), bool)
+    n, ends = len(mass), x.spectra[molecules.start : molecules.stop + 1]
+    counts = np.diff(ends)
+    total, most, least = np.zeros((9, len(counts), n)), np.full((9, len(counts), n), -np.inf), np.full((9, len(counts), n), np.inf)
+    exceeded = np.zeros(len(counts), bool)
     step = max(1, _CELLS // max(1, n))
-    for lo in range(0, len(spectra), step):
-        some, to = spectra[lo : lo + step], of[lo : lo + step]
-        own, out = np.empty((len(some), n, 9)), np.zeros(len(some), bool)
+    for lo in range(int(ends[0]), int(ends[-1]), step):
+        some = np.arange(lo, min(lo + step, int(ends[-1])))
+        own, out = np.empty((9, len(some), n)), np.zeros(len(some), bool)
         expected = mass + x.shift[some, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             error = np.abs((x.precursor[some, None] - expected) / expected * 1e6)
-        own[:, :, 0] = np.fmin(error, 1e6)
+        np.fmin(error, 1e6, out=own[0])
         kinds, kind = np.unique(np.concatenate([x.charge[some, None], x.delta[some]], axis=1).astype(np.int64), axis=0, return_inverse=True)
         for k in range(len(kinds)):
             here = np.flatnonzero(kind.ravel() == k)
             ions = vector + kinds[k, 1:]
-            own[here, :, 1] = (error[here] <= config.precursor_ppm + 1e-6) & (ions >= 0).all(axis=1)
-            sizes = np.diff(x.peaks)[some[here]]
-            peaks = _ranges(x.peaks[some[here]], sizes)
+            own[1, here] = (error[here] <= config.precursor_ppm + 1e-6) & (ions >= 0).all(axis=1)
+            at = x.peaks[some[here]]
+            sizes = x.peaks[some[here] + 1] - at
+            peaks = _ranges(at, sizes)
             known = kernel.fragments(ions, int(kinds[k, 0]), config.fragment_da, config.fragment_ppm, config.max_search_results)
-            own[here, :, 2:], out[here] = known.evidence(x.mzs[peaks], x.powers[peaks], sizes)
-        starts = np.flatnonzero(np.diff(to, prepend=-1))
-        to = to[starts]
-        total[to] += np.add.reduceat(own, starts, axis=0)
-        most[to] = np.maximum(most[to], np.maximum.reduceat(own, starts, axis=0))
-        least[to] = np.minimum(least[to], np.minimum.reduceat(own, starts, axis=0))
-        exceeded[to] |= np.logical_or.reduceat(out, starts)
-    out = np.empty((len(rows), n, 27))
-    out[:, order] = np.concatenate([total / counts[:, None, None], most, least], axis=2)
-    return out, exceeded
-
-
-def of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
-    """A row a molecule: what own has of it, cands, evidence (27 numbers of each of cands, in their order), exceeded, and 33 numbers of its spectra.
-
-    own, lists: as candidates.lists gives them. Only spectra are shuffled: the
-    candidates of alike molecules meet them once, and nothing is joined by candidate.
-    """
+            found, out[here] = known.evidence(x.mzs[peaks], x.powers[peaks], sizes)
+            own[2:, here] = np.moveaxis(found, 2, 0)
+        # the first spectrum of each molecule, then the second of those that have one, and so on
+        first, last = np.maximum(ends[:-1], lo) - lo, np.minimum(ends[1:], lo + len(some)) - lo
+        for j in range(int((last - first).max())):
+            to = np.flatnonzero(last - first > j)
+            to = slice(None) if len(to) == len(counts) else to
+            now = own[:, first[to] + j]
+            total[:, to] += now
+            most[:, to], least[:, to] = np.maximum(most[:, to], now), np.minimum(least[:, to], now)
+            exceeded[to] |= out[first[to] + j]
+    back = np.argsort(order)
+    return np.concatenate([total / counts[:, None], most, least]).take(back, axis=2), exceeded
+
+
+def _grouped(own: DataFrame, lists: DataFrame, spectra: DataFrame, digits: int | None = None) -> DataFrame:
+    """A row a group of alike molecules: cands, and molecules (what own has of each, 33 numbers of its spectra, rounded if digits says so, and own, its spectra)."""
     tables.ship(spectra.sparkSession)
     meta = spectra.select(
         "molecule_id",
@@ -178,40 +180,84 @@ def of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: Engin
         (F.coalesce("instrument_type", F.lit("")) == "").cast("double").alias("instrument_missing"),
     )
     aggs = [f(c).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min)) for c in PER_SPECTRUM[9:]]
-    x = _met(own.join(meta.groupBy("molecule_id").agg(*aggs, F.collect_list("own").alias("own")), "molecule_id"), own, lists)
-    kept = [c for c in x.columns if c not in ("like", "own")]
+    each = meta.groupBy("molecule_id").agg(*aggs, F.collect_list("own").alias("own"))
+    if digits is not None:
+        each = each.withColumns({c: F.round(c, digits) for c in _OF_SPECTRA})
+    rows = own.join(each, "molecule_id")
+    item = F.struct(*(c for c in rows.columns if c not in ("like", "deal")))
+    return _met(rows, own, lists, lambda x: x.groupBy("like", "deal").agg(F.collect_list(item).alias("molecules")))
+
+
+def _parts(b: pa.RecordBatch, config: EngineConfig):
+    """Of each group of a batch, some molecules at a time: the numbers, the candidates, the molecules, and their _summaries."""
+    x = _Numbers(b)
+    for k in range(b.num_rows):
+        cands = slice(int(x.cands[k]), int(x.cands[k + 1]))
+        step = max(1, _CELLS // max(1, cands.stop - cands.start))
+        for lo in range(int(x.molecules[k]), int(x.molecules[k + 1]), step):
+            molecules = slice(lo, min(lo + step, int(x.molecules[k + 1])))
+            yield x, cands, molecules, *_summaries(x, cands, molecules, config)
+
+
+def of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:
+    """A row a molecule: what own has of it, cands, evidence (27 numbers of each of cands, in their order), exceeded, and 33 numbers of its spectra.
+
+    own, lists: as candidates.lists gives them. Only spectra are shuffled: the
+    candidates of alike molecules meet them once, and nothing is joined by candidate.
+    """
+    x = _grouped(own, lists, spectra)
+    fields = [f for f in x.schema["molecules"].dataType.elementType if f.name != "own"]
 
     def run(batches):
         for b in batches:
-            x = _Numbers(b)
-            # some of the rows at a time: their numbers are far more than the rows
-            cells, lo = x.cands - x.cands[0], 0
-            like = b.column("like").to_pylist()
-            while lo < b.num_rows:
-                to = max(lo + 1, int(np.searchsorted(cells, cells[lo] + _CELLS, "right")) - 1)
-                alike = {}
-                for i in range(lo, to):
-                    alike.setdefault(like[i], []).append(i)
-                ends = x.cands[lo : to + 1] - x.cands[lo]
-                out, over = np.empty((ends[-1], 27)), np.zeros(to - lo, bool)
-                for rows in map(np.array, alike.values()):
-                    own, over[rows - lo] = _summaries(x, rows, config)
-                    out[_ranges(ends[rows - lo], np.diff(ends)[rows - lo])] = own.reshape(-1, 27)
-                each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(27)], names=_SUMMED))
-                yield pa.record_batch([*(b.column(c).slice(lo, to - lo) for c in kept), each, pa.array(over)], names=[*kept, "evidence", "exceeded"])
-                lo = to
-
-    shape = T.StructType([*(x.schema[c] for c in kept), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _SUMMED]))), T.StructField("exceeded", T.BooleanType())])
+            for x, cands, at, numbers, over in _parts(b, config):
+                m, n = at.stop - at.start, cands.stop - cands.start
+                ends, of = pa.array(np.arange(m + 1) * n, pa.int32()), x.of.slice(at.start, m)
+                each = x.each.take(pa.array(np.tile(np.arange(cands.start, cands.stop), m)))
+                evidence = pa.StructArray.from_arrays([pa.array(c.ravel()) for c in numbers], names=_SUMMED)
+                yield pa.record_batch([*(of.field(f.name) for f in fields), *(pa.ListArray.from_arrays(ends, c) for c in (each, evidence)), pa.array(over)], names=[*(f.name for f in fields), "cands", "evidence", "exceeded"])
+
+    shape = T.StructType([*fields, x.schema["cands"], T.StructField("evidence", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _SUMMED]))), T.StructField("exceeded", T.BooleanType())])
     return x.mapInArrow(run, shape)
 
 
+def table_of_lists(own: DataFrame, lists: DataFrame, spectra: DataFrame, config: EngineConfig, digits: int) -> DataFrame:
+    """(molecule_id, formula, the 74 features rounded): as rows_of(of_lists(...)), for tables in which all features of all candidates are wanted.
+
+    What depends on a molecule or on a list is rounded once for it, and rows come
+    from the tasks as columns: nothing is unnested by the row.
+    """
+    def item(c):
+        own = _composition(c["vector"]) | {"mass": c["mass"]}
+        rounded = F.struct(*(F.round(own[n], digits).alias(n) for n in FEATURES[:14]))
+        return F.struct(*(c[n].alias(n) for n in ("formula", "vector", "mass")), rounded.alias("of"))
+
+    x = _grouped(own.select("molecule_id", "like", "deal"), lists.select("like", F.transform("cands", item).alias("cands")), spectra, digits)
+
+    def run(batches):
+        for b in batches:
+            for x, cands, at, numbers, _ in _parts(b, config):
+                m, n = at.stop - at.start, cands.stop - cands.start
+                by_molecule, by_cand = pa.array(np.repeat(np.arange(at.start, at.stop), n)), pa.array(np.tile(np.arange(cands.start, cands.stop), m))
+                of = dict(zip(_SUMMED, (pa.array(c.ravel()) for c in kernel.half_up(numbers, digits))))
+                of |= {c: x.of.field(c).take(by_molecule) for c in ("molecule_id", *_OF_SPECTRA)}
+                own = x.each.field("of")
+                of |= {"formula": x.each.field("formula").take(by_cand)} | {c: own.field(c).take(by_cand) for c in FEATURES[:14]}
+                yield pa.record_batch([of[c] for c in ("molecule_id", "formula", *FEATURES)], names=["molecule_id", "formula", *FEATURES])
+
+    return x.mapInArrow(run, "molecule_id string, formula string, " + ", ".join(f"`{c}` double" for c in FEATURES))
+
+
+def _composition(vector: Column) -> dict[str, Column]:
+    h_c, hetero = C.ratios(vector)
+    return {f"count_{e}": F.element_at(vector, k + 1).cast("double") for k, e in enumerate(ELEMENTS)} | {"dbe": C.dbe(vector), "h_c": h_c, "hetero_c": hetero}
+
+
 def rows_of(molecules: DataFrame) -> DataFrame:
     """What of_lists gives as a row a candidate, with 74 feature columns and exceeded."""
     rest = [c for c in molecules.columns if c not in ("cands", "evidence")]
     out = molecules.select(*rest, F.inline(F.arrays_zip("cands", "evidence"))).select(*rest, "cands.*", "evidence.*")
-    h_c, hetero = C.ratios(F.col("vector"))
-    out = out.withColumns({f"count_{e}": F.element_at("vector", k + 1).cast("double") for k, e in enumerate(ELEMENTS)})
-    return out.withColumns({"dbe": C.dbe(F.col("vector")), "h_c": h_c, "hetero_c": hetero})
+    return out.withColumns(_composition(F.col("vector")))
 
 
 def extract(cands: DataFrame, spectra: DataFrame, config: EngineConfig) -> DataFrame:

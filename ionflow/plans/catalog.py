@@ -657,13 +657,13 @@ def _predicted(spark, sf_dir):
     return FormulaEngine(spark).predict(rows, 5)
 
 
-def _whole(spark, sf_dir):
+def _whole(spark, sf_dir, features=feat.of_lists, *more):
     """Molecules with their candidates within the engine's own limits and what features are made of."""
     config = EngineConfig()
     # read by the searches and by each molecule's evidence
     x = tables.materialize(_all(spark, sf_dir, config).drop("ms2_mzs", "ms2_normalized_intensities"), "spectra")
     own, lists, _ = cand.lists(x, config)
-    return feat.of_lists(own.select("molecule_id", "like", "deal"), lists, x, config)
+    return features(own.select("molecule_id", "like", "deal"), lists, x, config, *more)
 
 
 @query()
@@ -674,7 +674,7 @@ def q_predict(spark, sf_dir):
 
 @query()
 def q_features(spark, sf_dir):
-    return feat.rows_of(_whole(spark, sf_dir)).select("molecule_id", "formula", *(_r(n).alias(n) for n in feat.FEATURES))
+    return _whole(spark, sf_dir, feat.table_of_lists, 6)
 
 
 @query()
